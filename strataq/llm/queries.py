@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm.common import table
+from strataq.llm.decontamination import decontaminate
+from strataq.llm.licenses import scan
 from strataq.llm.packing import pack
 from strataq.llm.sharding import shard
+from strataq.llm.token_counts import count_tokens
 from strataq.llm.token_files import round_trip
+from strataq.llm.top_k import top_k
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +22,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "documents"), end_id=2)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return shard(table(spark, sf_dir, "documents"), n_shards=16).select(
@@ -31,10 +49,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
+    "op4_decontamination": op4_decontamination,
+    "op5_top_k": op5_top_k,
     "op7_sharding": op7_sharding,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
