@@ -1,10 +1,14 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Words are hashed, hashes are folded into 5-gram hashes, and of every window of
-eight words the least 5-gram hash is its fingerprint: equal windows have equal
-fingerprints, so any shared span of eight words or more is found.  Fingerprints
-of documents and benchmark are joined and a hit is extended to its whole window,
-whose words are compared one by one.
+Of every window of eight words the least hash of its 5-grams is its fingerprint:
+equal windows have equal fingerprints, so any shared span of eight words or more
+is found.  Fingerprints of documents and benchmark are joined and a hit is
+extended to its whole window, whose words are compared.
+
+A document's words stay one array while its positions are unrolled: unrolling,
+hashing, join and comparison are one generated loop over that array, which
+copies nothing.  ``posexplode_outer`` matters there: for ``posexplode`` the
+optimizer adds a filter on the array that would evaluate its expression again.
 """
 
 from __future__ import annotations
@@ -29,30 +33,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _tail(a: Column, by: int) -> Column:
-    return F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
+def fingerprints(df: DataFrame, *keep: str) -> DataFrame:
+    """``at, print`` of each window of eight of ``words``, besides the columns to keep.
 
-
-def _paired(a: Column, b: Column, by: int, f) -> Column:
-    """f(a[i], b[i + by]) for each i that has both."""
-    return F.zip_with(F.slice(a, 1, F.greatest(F.least(F.size(a), F.size(b) - by), F.lit(0))), _tail(b, by), f)
-
-
-def fingerprints(df: DataFrame, words: str = "words") -> DataFrame:
-    """Adds ``prints``: the fingerprint of each window of eight words, by its first word."""
-    mix = lambda x, y: F.xxhash64(x, y)
-    df = df.withColumn("_h", F.transform(F.col(words), lambda w: F.xxhash64(w)))
-    df = df.withColumn("_g2", _paired(F.col("_h"), F.col("_h"), 1, mix))
-    df = df.withColumn("_g4", _paired(F.col("_g2"), F.col("_g2"), 2, mix))
-    df = df.withColumn("_g5", _paired(F.col("_g4"), F.col("_h"), GRAM - 1, mix))
-    df = df.withColumn("_m2", _paired(F.col("_g5"), F.col("_g5"), 1, lambda x, y: F.least(x, y)))
-    return df.withColumn("prints", _paired(F.col("_m2"), F.col("_m2"), 2, lambda x, y: F.least(x, y)))
+    The last word's row, or the one row of no words, has the fingerprint 0: no
+    window starts there.  Other rows at which no window starts have null.
+    """
+    rows = df.select(*keep, "words", F.posexplode_outer("words").alias("at", "_word"))
+    word = lambda i: F.get("words", F.col("at") + i)
+    grams = [F.xxhash64(*[word(i + j) for j in range(GRAM)]) for i in range(SPAN - GRAM + 1)]
+    last = F.col("at").isNull() | (F.col("at") == F.size("words") - 1)
+    return rows.select(*keep, "words", "at", F.when(last, F.lit(0).cast("long")).when(F.col("at") <= F.size("words") - SPAN, F.least(*grams)).alias("print"))
 
 
 def _windows(items: DataFrame) -> DataFrame:
     """``item, span, print, window``: every window of each item that has words."""
-    long = fingerprints(items.where(F.size("words") >= SPAN)).select("item", "words", F.posexplode("prints").alias("_at", "print"))
-    long = long.select("item", F.lit(SPAN).alias("span"), "print", F.array_join(F.slice("words", F.col("_at") + 1, SPAN), " ").alias("window"))
+    long = fingerprints(items, "item").where(F.col("at") <= F.size("words") - SPAN)
+    long = long.select("item", F.lit(SPAN).alias("span"), "print", F.array_join(F.slice("words", F.col("at") + 1, SPAN), " ").alias("window"))
     short = items.where((F.size("words") > 0) & (F.size("words") < SPAN)).withColumn("window", F.array_join("words", " "))
     return long.unionByName(short.select("item", F.size("words").alias("span"), F.xxhash64("window").alias("print"), "window")).distinct()
 
@@ -84,18 +81,17 @@ def decontaminate(
     texts = windows.select("span", "print", "window").distinct()
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    marked = fingerprints(base).select("row", "doc_id", "words", "prints")
-    # a last element for each document, which meets a window of no words: documents without hits stay
-    ended = marked.select("row", "doc_id", "words", F.posexplode(F.concat("prints", F.array(F.lit(0).cast("long")))).alias("at", "print"))
+    marked = fingerprints(base, "row", "doc_id")
+    # each document's last row meets a window of no words: documents without hits stay
     end = docs.sparkSession.range(1).select(F.lit(0).alias("span"), F.lit(0).cast("long").alias("print"), F.lit("").alias("window"))
     eight = texts.where(F.col("span") == SPAN).unionByName(end)
-    same = F.when(F.col("span") == 0, F.col("at") == F.greatest(F.size("words") - (SPAN - 1), F.lit(0)))
+    same = F.when(F.col("span") == 0, F.col("at").isNull() | (F.col("at") == F.size("words") - 1))
     same = same.otherwise(F.array_join(F.slice("words", F.col("at") + 1, F.col("span")), " ") == F.col("window"))
     found = ["row", "doc_id", F.size("words").alias("n_words"), "at", "span", "window"]
     if small:
-        hits = ended.join(F.broadcast(eight), "print").where(same).select(*found)
+        hits = marked.join(F.broadcast(eight), "print").where(same).select(*found)
     else:
-        met = ended.select("row", "at", "print").join(eight, "print").drop("print")
+        met = marked.select("row", "at", "print").join(eight, "print").drop("print")
         hits = base.join(met, "row").where(same).select(*found)
     for n in sorted(s for s in counts if s < SPAN):
         grams = F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("words", i, n), " ")))
