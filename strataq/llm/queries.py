@@ -15,6 +15,7 @@ from strataq.llm.sharding import shard
 from strataq.llm.token_counts import count_tokens
 from strataq.llm.token_files import round_trip
 from strataq.llm.top_k import top_k
+from strataq.llm.toxicity import score as toxicity_score
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return shard(table(spark, sf_dir, "documents"), n_shards=16).select(
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op5_top_k": op5_top_k,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op9_licenses": op9_licenses,
 }
