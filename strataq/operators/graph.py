@@ -11,7 +11,7 @@ from strataq.session import cut
 def add_edges(edges: DataFrame, more: DataFrame, both_ways: bool = False) -> DataFrame:
     """One edge a (src, label, dst)."""
     if both_ways:
-        more = more.unionByName(more.withColumnsRenamed({"src": "dst", "dst": "src"}))
+        more = more.unionByName(more.withColumn("_s", F.col("src")).withColumn("src", F.col("dst")).withColumn("dst", F.col("_s")).drop("_s"))
     return edges.unionByName(more, allowMissingColumns=True).dropDuplicates(["src", "label", "dst"])
 
 

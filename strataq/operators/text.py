@@ -41,7 +41,8 @@ def bm25(docs: DataFrame, key: str, query: str, fields: tuple[str, ...], field:
     wanted = text(field) if field else every
     distinct = sorted(set(terms))
     base = docs.select(key, every.alias("_all"), wanted.alias("_in"))
-    counted = base.select(key, F.size("_all").alias("dl"), *[F.size(F.filter("_in", lambda x, t=t: x == t)).alias(f"_t{i}") for i, t in enumerate(distinct)])
+    times = lambda t: F.size(F.filter("_in", lambda x: x == t))
+    counted = base.select(key, F.size("_all").alias("dl"), *[times(t).alias(f"_t{i}") for i, t in enumerate(distinct)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"_t{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(distinct))])
     scored = counted.crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)

@@ -11,8 +11,8 @@ def ms(c: Column) -> Column:
 
 
 def in_range(df: DataFrame, ts: str, start: int, end: int) -> DataFrame:
-    """Closed interval of epoch milliseconds."""
-    return df.where(F.col(ts).cast("timestamp").between(F.timestamp_millis(F.lit(start)), F.timestamp_millis(F.lit(end))))
+    """Closed interval of epoch milliseconds; a time counts as its whole millisecond."""
+    return df.where(F.col(ts).cast("timestamp").between(F.timestamp_millis(F.lit(start)), F.timestamp_micros(F.lit(end * 1000 + 999))))
 
 
 def bucket(ts: Column, width_ms: int) -> Column:
