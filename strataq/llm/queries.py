@@ -12,6 +12,7 @@ from strataq.llm.common import table
 from strataq.llm.decontamination import decontaminate
 from strataq.llm.jaccard_join import similar
 from strataq.llm.licenses import scan
+from strataq.llm.lm_scoring import score as lm_score
 from strataq.llm.packing import pack
 from strataq.llm.sharding import shard
 from strataq.llm.token_counts import count_tokens
@@ -56,6 +57,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,
