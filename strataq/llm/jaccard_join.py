@@ -5,7 +5,8 @@ stands for it.  Each set has a signature of minimum hashes.  A path is a sequenc
 of signature places with their values: at the root of every run some places are
 chosen, sets that agree on one share its bucket, and buckets that are still large
 are split on places which the path itself chooses, and so on.  Small buckets are
-compared by brute force on signatures, large ones at the last level in blocks.
+compared by brute force on signatures, those still large at the last level in
+pairs of blocks.
 Runs are repeated until the chance that a pair at the threshold has met reaches
 the target recall.  Pairs that may be similar join groups, and within the groups
 all pairs are verified on whole shingle sets.
@@ -29,8 +30,8 @@ from strataq.llm.components import components
 PLACES = 64
 #: places chosen at the root, and at each later node, of a path
 ROOT_PLACES, NODE_PLACES = 8, 6
-#: members up to which a bucket is compared rather than split; members of a block
-LEAF, BLOCK = 256, 2048
+#: members up to which a bucket is compared rather than split; members of a verified block
+LEAF, BLOCK = 12288, 2048
 LEVELS = 3
 
 _BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -74,30 +75,26 @@ def runs_for(recall: float, threshold: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alone)))
 
 
-def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs."""
-    root: dict[int, int] = {}
+def _walk(m: int, reach) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of m nodes; ``reach(x, rest)`` marks those of ``rest`` next to x.
 
-    def find(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = x = root.get(y, y)
-        return x
-
-    kept = []
-    for i, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(i)
-    return left[kept], right[kept]
-
-
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places at which each row of a agrees with each of b."""
-    out = np.zeros((len(a), len(b)), np.uint8)
-    for j in range(PLACES):
-        out += a[:, j, None] == b[None, :, j]
-    return out
+    Every node is compared with the nodes not yet reached only, so a group of
+    mutually similar sets costs one comparison each.
+    """
+    rest, left, right = np.arange(m), [], []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = reach(x, rest)
+            if hit.any():
+                new = rest[hit]
+                left.append(np.full(len(new), x))
+                right.append(new)
+                queue += new.tolist()
+                rest = rest[~hit]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -129,25 +126,20 @@ def _signatures(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<u4").reshape(-1, PLACES)
 
 
-def _pairs(rows: np.ndarray, sig: np.ndarray, side: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of pairs of a bucket, or across the two sides of a block pair."""
-    if len(set(side.tolist())) == 2:
-        l, r = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    else:
-        l = r = np.arange(len(rows))
-    found = [], []
-    for at in range(0, len(l), 1024):
-        part = l[at : at + 1024]
-        i, j = np.nonzero(_agree(sig[part], sig[r]) >= least)
-        x, y = rows[part[i]], rows[r[j]]
-        x, y = _forest(x[x != y], y[x != y])
-        found[0].append(x)
-        found[1].append(y)
-    return _forest(np.concatenate(found[0]), np.concatenate(found[1]))
+def _similar_signatures(sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the sets whose signatures agree in ``least`` places or more."""
+    held: list = [None, None]
+
+    def reach(x: int, rest: np.ndarray) -> np.ndarray:
+        if held[0] is not rest:  # copied only when the rest has shrunk
+            held[:] = [rest, sig[rest]]
+        return (held[1] == sig[x]).sum(1) >= least
+
+    return _walk(len(sig), reach)
 
 
 def _compare(buckets: DataFrame, least: int) -> DataFrame:
-    """Edges of buckets ``path, part, side, row, sig``."""
+    """Edges (a forest of each part) of buckets ``path, part, row, sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = ([], []), 0
@@ -155,13 +147,9 @@ def _compare(buckets: DataFrame, least: int) -> DataFrame:
             if t.num_rows < 2:
                 continue
             rows, sig = np.asarray(t.column("row")), _signatures(t.column("sig"))
-            if t.num_rows == 2:
-                close = int((sig[0] == sig[1]).sum()) >= least and rows[0] != rows[1]
-                x, y = (rows[:1], rows[1:]) if close else (rows[:0], rows[:0])
-            else:
-                x, y = _pairs(rows, sig, np.asarray(t.column("side")), least)
-            out[0].append(x)
-            out[1].append(y)
+            x, y = _similar_signatures(sig, least)
+            out[0].append(rows[x])
+            out[1].append(rows[y])
             n += len(x)
             if n > 100_000:
                 yield pa.RecordBatch.from_pydict({"u": np.concatenate(out[0]), "v": np.concatenate(out[1])})
@@ -170,7 +158,7 @@ def _compare(buckets: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"u": np.concatenate(out[0]), "v": np.concatenate(out[1])})
 
     dealt = buckets.repartition("path", "part").sortWithinPartitions("path", "part")
-    return dealt.select("path", "part", "side", "row", "sig").mapInArrow(run, "u long, v long")
+    return dealt.select("path", "part", "row", "sig").mapInArrow(run, "u long, v long")
 
 
 def _in_blocks(members: DataFrame, group: str, count: str, block: int) -> DataFrame:
@@ -201,7 +189,7 @@ def _candidates(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
             level = written(level, "paths")
             last = depth == LEVELS - 1
             small = level if last else level.where(F.col("members") <= LEAF)
-            found = _compare(_in_blocks(small, "path", "members", BLOCK if last else LEAF), least)
+            found = _compare(_in_blocks(small, "path", "members", LEAF), least)
             edges = found if edges is None else edges.unionByName(found)
             large = level.where(F.col("members") > LEAF)
             if last or large.isEmpty():
@@ -261,9 +249,8 @@ def _exact(rows: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np
             shared += x @ x.T
     union = sizes[:, None] + sizes[None, :] - shared.astype(np.int64)
     linked = allowed & (top * shared.astype(np.int64) >= bottom * union) & (union > 0)
-    i, j = np.nonzero(np.triu(linked, 1))
-    u, v = _forest(rows[i], rows[j])
-    return linked @ copies, u, v
+    i, j = _walk(m, lambda x, rest: linked[x, rest])
+    return linked @ copies, rows[i], rows[j]
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
