@@ -17,7 +17,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: entries each of a worker's two caches may hold (about 150 bytes each) before it starts anew
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 _UNSAFE = re.compile(r"\s | \s|^ ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: pre-tokens whose counts a worker keeps before it starts anew
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 
 
 def default_path() -> str:

@@ -30,7 +30,7 @@ QUOTES_OPEN, QUOTES_CLOSE = "\"“«„'‘", "\"”»“'’"
 #: labelled documents that the lexicon and the model are fitted on, at most
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 6000
 #: words whose match a worker keeps before it starts anew
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 WINDOW = 10
 _STRIP = ".,;:!?()[]{}<>|*_~`\"'“”«»„‘’#$%&/\\-+=@^"
 _LEET = str.maketrans("013457@$", "oieastas")
