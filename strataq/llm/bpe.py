@@ -16,8 +16,9 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: entries each of a worker's two caches may hold (about 150 bytes each) before it starts anew
-CACHE_ENTRIES = 300_000
+#: entries (about 150 bytes each) at which a worker's cache becomes the old generation;
+#: what is asked for again moves to the new one, the rest goes with the next change
+CACHE_ENTRIES = 200_000
 
 _UNSAFE = re.compile(r"\s | \s|^ ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -60,6 +61,8 @@ class BpeEncoder:
         self._alphabet = _byte_alphabet()
         self._chunks: dict[str, bytes] = {}  # of what stands between two single spaces
         self._pieces: dict[str, bytes] = {}  # of words with their own space
+        self._old_chunks: dict[str, bytes] = {}
+        self._old_pieces: dict[str, bytes] = {}
         if self._plain:
             import public_tokenizers
             import regex
@@ -72,7 +75,10 @@ class BpeEncoder:
         return array("I", [t.id for t in self._merge(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():
+        out = self._old_chunks.get(chunk)
+        if out is not None:
+            pass
+        elif chunk.isalpha():
             out = self._word(" " + chunk)
         else:
             out = b"".join(map(self._piece, self._words(" " + chunk)))
@@ -83,7 +89,9 @@ class BpeEncoder:
     def _piece(self, word: str) -> bytes:
         ids = self._pieces.get(word)
         if ids is None:
-            ids = self._word(word)
+            ids = self._old_pieces.get(word)
+            if ids is None:
+                ids = self._word(word)
             if len(word) <= 64:
                 self._pieces[word] = ids
         return ids
@@ -94,9 +102,10 @@ class BpeEncoder:
         if not self._plain:
             return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
         parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-        for cache in (self._chunks, self._pieces):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
+        if len(self._chunks) > CACHE_ENTRIES:
+            self._old_chunks, self._chunks = self._chunks, {}
+        if len(self._pieces) > CACHE_ENTRIES:
+            self._old_pieces, self._pieces = self._pieces, {}
         head = b"".join(map(self._piece, self._words(parts[0])))
         del parts[0]
         found = list(map(self._chunks.get, parts))
