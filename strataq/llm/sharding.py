@@ -21,6 +21,8 @@ from strataq.llm.common import written
 
 #: bytes of text that a bucket should hold
 BUCKET_BYTES = 24 << 20
+#: bytes, about, that a task hands back at a time
+OUT_BYTES = 2 << 20
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -66,13 +68,17 @@ def shard(
         if not got:
             return
         bucket = TaskContext.get().partitionId()
-        rows = pa.Table.from_batches(got)
-        rows = rows.sort_by("_place")  # fetches arrive in any order; a hash decides
+        place = np.concatenate([np.asarray(x.column(x.num_columns - 2)) for x in got])
+        rows = pa.Table.from_batches(got).select(names).combine_chunks()
+        got.clear()
         n = rows.num_rows
-        order = fisher_yates(n, np.random.default_rng([seed, bucket]))
-        rows = rows.select(names).take(pa.array(order))
-        rows = rows.append_column("_bucket", pa.array(np.full(n, bucket, np.int32))).append_column("_at", pa.array(np.arange(n)))
-        yield from rows.to_batches(max_chunksize=10_000)
+        # fetches arrive in any order; a hash decides
+        order = np.argsort(place, kind="stable")[fisher_yates(n, np.random.default_rng([seed, bucket]))]
+        step = max(1, OUT_BYTES * n // max(1, rows.nbytes))
+        for at in range(0, n, step):  # the bucket is held once, its output piece by piece
+            part = rows.take(pa.array(order[at : at + step]))
+            part = part.append_column("_bucket", pa.array(np.full(len(part), bucket, np.int32)))
+            yield from part.append_column("_at", pa.array(np.arange(at, at + len(part)))).to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
     shuffled = written(scattered.mapInArrow(run, f"{fields}, _bucket int, _at long"), "shards")
