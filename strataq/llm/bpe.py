@@ -22,6 +22,17 @@ CACHE_ENTRIES = 200_000
 
 _UNSAFE = re.compile(r"\s | \s|^ ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ASCII_SPACES = [chr(c) for c in range(128) if chr(c).isspace() and c != 32]
+
+
+def _cuts(text: str) -> list[str]:
+    """What stands between single spaces with no white space on either side."""
+    if text.isascii():  # searches for one character are far cheaper than the pattern
+        unsafe = text[0] == " " or text[-1] == " " or "  " in text
+        unsafe = unsafe or any(c in text and (c + " " in text or " " + c in text) for c in _ASCII_SPACES)
+    else:
+        unsafe = _UNSAFE.search(text)
+    return _CUT.split(text) if unsafe else text.split(" ")
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,6 +70,7 @@ class BpeEncoder:
             and not any(not a.get("special") for a in spec.get("added_tokens") or ())
         )
         self._alphabet = _byte_alphabet()
+        self._space = self._alphabet[32]
         self._chunks: dict[str, bytes] = {}  # of what stands between two single spaces
         self._pieces: dict[str, bytes] = {}  # of words with their own space
         self._old_chunks: dict[str, bytes] = {}
@@ -71,7 +83,10 @@ class BpeEncoder:
             self._words = regex.compile(public_tokenizers.PATTERN).findall
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode("utf-8", "replace").decode("latin-1").translate(self._alphabet)
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":
+            letters = self._space + word[1:]
+        else:
+            letters = word.encode("utf-8", "replace").decode("latin-1").translate(self._alphabet)
         return array("I", [t.id for t in self._merge(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
@@ -80,6 +95,9 @@ class BpeEncoder:
             pass
         elif chunk.isalpha():
             out = self._word(" " + chunk)
+        elif chunk[:-1].isalpha() and chunk[-1].isascii() and not chunk[-1].isalnum() and not chunk[-1].isspace():
+            head = self._chunks.get(chunk[:-1])  # letters and one mark: two words of the pattern
+            out = (self._chunk(chunk[:-1]) if head is None else head) + self._piece(chunk[-1])
         else:
             out = b"".join(map(self._piece, self._words(" " + chunk)))
         if len(chunk) <= 64:
@@ -101,7 +119,7 @@ class BpeEncoder:
             return b""
         if not self._plain:
             return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+        parts = _cuts(text)
         if len(self._chunks) > CACHE_ENTRIES:
             self._old_chunks, self._chunks = self._chunks, {}
         if len(self._pieces) > CACHE_ENTRIES:
