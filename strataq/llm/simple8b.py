@@ -27,6 +27,8 @@ _WIDEST = 120
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id takes; 0 for 0."""
+    if not ids.size or int(ids.max()) < 1 << 52:  # exact as doubles: the exponent counts the bits
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     out = np.zeros(ids.shape, np.uint8)
     rest = ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -67,12 +69,15 @@ def encode(ids: np.ndarray, block: int = 512) -> bytes:
     counts = np.array([c for c, _ in SELECTORS], np.int64)
     # walk all blocks at once, a word a step
     at, rows, starts, picked = np.zeros(blocks, np.int64), [], [], []
+    words_of, offsets = np.zeros(blocks, np.int64), []  # words that a block has so far
     live = np.arange(blocks)
     while len(live):
         s = choice[live, at[live]]
         rows.append(live)
         starts.append(at[live])
         picked.append(s)
+        offsets.append(words_of[live])
+        words_of[live] += np.where(s == 0, 2, 1)
         at[live] += counts[s]
         live = live[at[live] < block] if n % block == 0 else live[at[live] < np.where(live == blocks - 1, n % block, block)]
     if not rows:
@@ -80,11 +85,9 @@ def encode(ids: np.ndarray, block: int = 512) -> bytes:
         first = np.zeros(0, np.uint32)
     else:
         row, start, sel = np.concatenate(rows), np.concatenate(starts), np.concatenate(picked)
-        order = np.lexsort((start, row))
-        row, start, sel = row[order], start[order], sel[order]
-        takes = np.where(sel == 0, 2, 1)
-        place = np.cumsum(takes) - takes
-        words = np.zeros(int(takes.sum()), np.uint64)
+        opens = np.cumsum(words_of) - words_of
+        place = opens[row] + np.concatenate(offsets)
+        words = np.zeros(int(words_of.sum()), np.uint64)
         for s, (count, bits) in enumerate(SELECTORS):
             here = np.flatnonzero(sel == s)
             if not len(here):
@@ -98,8 +101,7 @@ def encode(ids: np.ndarray, block: int = 512) -> bytes:
                     word |= grid[row[here], start[here] + j] << np.uint64(bits * j)
             words[place[here]] = word
         escapes = int((sel == 0).sum())
-        heads = np.flatnonzero(np.diff(row, prepend=-1))
-        first = place[heads].astype(np.uint32)
+        first = opens.astype(np.uint32)
     body = first.astype("<u4").tobytes() + words.astype("<u8").tobytes()
     return _HEAD.pack(MAGIC, block, n, len(words), escapes, zlib.crc32(body)) + body
 
