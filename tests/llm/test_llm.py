@@ -231,6 +231,27 @@ def test_lm_scoring(spark):
     assert lm_score(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_attention_training_covers_the_corpus(spark, monkeypatch):
+    from strataq.llm import lm_scoring
+
+    stream, seen = np.random.default_rng(0).integers(0, 60, 1000).astype(np.uint8), set()
+    forward = attention_lm.forward
+    with monkeypatch.context() as m:
+        m.setattr(attention_lm, "forward", lambda w, x, *a: seen.update(map(bytes, x.astype(np.uint8))) or forward(w, x, *a))
+        attention_lm.train(attention_lm.fresh(0), stream)
+    covered = {at + k for at in range(1000 - 32) if bytes(stream[at : at + 32]) in seen for k in range(1, 33)}
+    assert covered == set(range(1, 1000))
+
+    averaged, mean = [], attention_lm.mean
+    monkeypatch.setattr(attention_lm, "mean", lambda states: averaged.append([n for n, _, _ in states]) or mean(states))
+    monkeypatch.setattr(lm_scoring, "PART_IDS", 300)
+    docs = [(i, f"the cat sat on the mat and w{i} ran " * 8) for i in range(120)]
+    sub = lm_scoring.subwords(lm_scoring.default_path())
+    ids = sum(1 + sum(len(sub.ids(w)) // 4 for w in lm_scoring.words_of(t)) for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert lm_score(frame(spark, docs)).count() == len(docs)
+    assert len(averaged) == lm_scoring.ROUNDS and max(map(len, averaged)) > 1 and sum(map(sum, averaged)) == ids
+
+
 def test_licenses(spark):
     docs = CASES + [(8, "some text\nReleased under the MIT License.\nmore"), (9, "Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (10, "a driver license is a general public matter")]
     got = {r.doc_id: r for r in scan(frame(spark, docs)).collect()}
