@@ -231,6 +231,20 @@ def test_lm_scoring(spark):
     assert lm_score(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_unseen_words_share_their_mass(spark):
+    text = "the cat sat on the mat and the dog ran"
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    docs = [(i, text) for i in range(60) if i not in held] + [(held[0], text), (held[1], " ".join(f"xq{'zvkj'[i % 4]}{i}" for i in range(10)))]
+    got = {r.doc_id: r for r in lm_score(frame(spark, docs)).collect()}
+    junk, clean = got[held[1]], got[held[0]]
+    assert junk.n_known == 1 and clean.n_known == 11
+    assert junk.score < clean.score and junk.spelled_score < junk.score < junk.spelled_score + 10
+    # a short and a long unseen word differ by all of their spelling
+    docs = docs[:-2] + [(held[0], "qj"), (held[1], "qj" * 30)]
+    short, long = (next(r for r in lm_score(frame(spark, docs)).collect() if r.doc_id == h) for h in held)
+    assert short.score > long.score + 5 and abs((short.score - long.score) - (short.spelled_score - long.spelled_score)) < 1e-6
+
+
 def test_attention_training_covers_the_corpus(spark, monkeypatch):
     from strataq.llm import lm_scoring
 
