@@ -4,7 +4,7 @@ Sparse logistic regression over word 1- and 2-grams tells licence families apart
 It is trained in numpy on the driver, on notices made from the templates below
 (words dropped, doubled and surrounded by filler) and on filler alone as the
 class ``unknown``.  The threshold of that class is set on held-out notices.  A
-predicted family stands if the paragraph covers enough of one of its templates.
+predicted family stands if the lines cover enough of one of its templates.
 """
 
 from __future__ import annotations
@@ -128,48 +128,102 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.6) -> DataFrame:
+@lru_cache(maxsize=4)
+def _anchors(coverage: float) -> tuple[str, ...]:
+    """Words that only notices have."""
+    anchors = {w for t in TEMPLATES.values() for x in t for w in _WORD.findall(x.lower()) if len(w) > 2} - set(FILLER) | {"license", "licensed", "rights"}
+    return tuple(sorted(anchors))
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often it is read in lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _units(docs: DataFrame, id_col: str, text_col: str, gate: tuple[str, ...] | None) -> DataFrame:
+    """``row, doc_id, at, last, words``: lines, and windows of lines of a paragraph, that hold a word of the gate.
+
+    A window may be any run of lines whose inner lines have no more words than
+    the longest template; of its first and last line so many words count.  Lines
+    without a word end paragraphs.  Documents without units have one row of nulls.
+    """
+    longest = max(len(_WORD.findall(x.lower())) for t in TEMPLATES.values() for x in t)
+    reach = longest + 1
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    passes = F.lit(True) if gate is None else low.rlike("(?<![a-z0-9])(?:" + "|".join(gate) + ")(?![a-z0-9])")
+    hit = (lambda ws: F.size(ws) > 0) if gate is None else (lambda ws: F.arrays_overlap(ws, F.array(*map(F.lit, gate))))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.when(passes, F.split(low, "\n")).alias("text"))
+    base = _once(base, F.transform("text", _tokens), "lines").drop("text")
+    line = lambda ws: F.struct(F.size(ws).alias("n"), hit(ws).alias("hit"), F.slice(ws, 1, longest).alias("head"), F.slice(ws, F.greatest(F.size(ws) - longest + 1, F.lit(1)), longest).alias("tail"))
+    base = _once(base, F.transform("lines", line), "all")
+    places = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.element_at("all", i)["hit"])
+    first = lambda i: F.greatest(i - reach, F.lit(1))
+    near = F.transform(places, lambda i: F.struct(i.alias("i"), first(i).alias("lo"), F.slice("all", first(i), i + reach + 1 - first(i)).alias("by"), F.element_at("lines", i).alias("words")))
+    hits = base.select("row", "doc_id", F.explode_outer(near).alias("h")).select("row", "doc_id", "h.*").withColumn("here", F.col("i") - F.col("lo") + 1)
+    # words up to each line; a line without words counts as too many
+    sizes = F.transform("by", lambda x: F.when(x["n"] > 0, x["n"]).otherwise(longest + 1).cast("long"))
+    hits = _once(hits, F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), "upto")
+    at = lambda k: F.element_at("upto", k + 1)  # words up to line k
+    inner = lambda a, b: F.when(b > a + 1, at(b - 1) - at(a)).otherwise(0) <= longest
+    wordy = lambda k: F.element_at("by", k)["n"] > 0
+    # a window belongs to the first of its lines that holds a word of the gate
+    starts = F.filter(F.sequence(F.lit(1), "here"), lambda a: wordy(a) & inner(a, F.col("here")) & ~F.exists(F.slice("by", a, F.col("here") - a), lambda x: x["hit"]))
+    hits = _once(hits, starts, "starts")
+    ends = F.sequence(F.col("here"), F.size("by"))
+    spans = F.flatten(F.transform("starts", lambda a: F.transform(F.filter(ends, lambda b: wordy(b) & inner(a, b) & (b > a)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    spans = F.concat(F.array(F.struct(F.col("here").alias("a"), F.col("here").alias("b"))), spans)
+    units = hits.select("*", F.explode_outer(spans).alias("s"))
+    a, b = F.col("s.a"), F.col("s.b")
+    middle = F.flatten(F.transform(F.slice("by", a + 1, F.greatest(b - a - 1, F.lit(0))), lambda x: x["head"]))
+    words = F.when(a == b, F.col("words")).otherwise(F.concat(F.element_at("by", a)["tail"], middle, F.element_at("by", b)["head"]))
+    return units.select("row", "doc_id", (a + F.col("lo") - 1).alias("at"), (b + F.col("lo") - 1).alias("last"), F.when(a.isNotNull(), words).alias("words"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.6, gated: bool = True) -> DataFrame:
     """One row a document: ``doc_id, license, probability, coverage, confirmed, n_notices, families``.
 
     ``license`` is the confirmed family of the highest probability (ties: by
-    name), or ``unknown``; ``families`` are all confirmed ones, sorted.  A
-    paragraph is a line; one without any word that only notices have is of the
-    unknown class.  Null and empty texts have no paragraphs; repeated rows each
-    have a row; an empty table gives none; only the two named columns are read.
-    The weights (a few thousand, fixed by the templates) are broadcast.
+    name), or ``unknown``; ``families`` are all confirmed ones, sorted.  Lines
+    are classified alone and in windows of consecutive lines, as a notice may be
+    wrapped anywhere; of those that overlap the one of the best coverage counts
+    (ties: the shortest, then the likeliest).  A line or window without any of
+    the words that every confirmed one has is of the unknown class; ``gated``
+    skips such text early.  Null and empty texts have no lines; repeated rows
+    each have a row; an empty table gives none; only the two named columns are
+    read.  The weights (a few thousand, fixed by the templates) are broadcast.
     """
     spark = docs.sparkSession
     names, weights, bias, threshold = train()
-    anchors = sorted({w for t in TEMPLATES.values() for x in t for w in _WORD.findall(x.lower())} - set(FILLER) & set(weights) | {"license", "licensed", "rights"})
-    anchors = [w for w in anchors if w in weights and len(w) > 2]
-    gate = r"(?i)\b(" + "|".join(anchors) + r")\b"
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda p: p.rlike(gate))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), lines.alias("lines"))
-    base = base.select("row", "doc_id", F.posexplode_outer("lines").alias("at", "line"))
-    words = base.withColumn("words", _tokens(F.coalesce("line", F.lit(""))))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.array_distinct(F.concat("words", pairs))
-    # coverage: the largest part of a template's words that the paragraph has, by family
+    units = _units(docs, id_col, text_col, _anchors(coverage) if gated else None)
+    vocabulary = sorted({w for t in TEMPLATES.values() for x in t for w in _WORD.findall(x.lower())})
+    units = _once(units, F.array_intersect("words", F.array(*map(F.lit, vocabulary))), "known")
+    # coverage: the largest part of a template's words that the unit has, by family
     cover = F.array(*[
-        F.greatest(F.lit(0.0), F.lit(0.0), *[F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws]))) / F.lit(len(ws)) for ws in (sorted(set(_WORD.findall(t.lower()))) for t in TEMPLATES.get(n, ()))])
+        F.greatest(F.lit(0.0), F.lit(0.0), *[F.size(F.array_intersect("known", F.array(*[F.lit(w) for w in ws]))) / F.lit(len(ws)) for ws in (sorted(set(_WORD.findall(t.lower()))) for t in TEMPLATES.get(n, ()))])
         for n in names
     ])
+    # a window that covers no template enough cannot count
+    units = _once(units, F.when(F.col("at").isNotNull(), cover), "cover").where(F.col("at").isNull() | (F.col("at") == F.col("last")) | (F.array_max("cover") >= coverage))
+    words = units.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    grams = F.array_distinct(F.concat("words", pairs))
     table = spark.createDataFrame([(g, *w) for g, w in weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(len(names))))
-    exploded = words.withColumn("cover", F.when(F.col("line").isNotNull(), cover)).select("row", "doc_id", "at", "cover", F.explode_outer(grams).alias("gram"))
+    exploded = words.select("row", "doc_id", "at", "last", "cover", F.explode_outer(grams).alias("gram"))
     met = exploded.join(F.broadcast(table), "gram", "left")
-    logits = met.groupBy("row", "at").agg(F.max("doc_id").alias("doc_id"), F.max("cover").alias("cover"), *[(F.round(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)), 9) + F.lit(bias[i])).alias(f"z{i}") for i in range(len(names))])
+    logits = met.groupBy("row", "at", "last").agg(F.max("doc_id").alias("doc_id"), F.max("cover").alias("cover"), *[(F.round(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)), 9) + F.lit(bias[i])).alias(f"z{i}") for i in range(len(names))])
     top = F.greatest(*[F.col(f"z{i}") for i in range(len(names))])
     total = sum((F.exp(F.col(f"z{i}") - F.col("top")) for i in range(1, len(names))), F.exp(F.col("z0") - F.col("top")))
     classes = [F.struct((F.exp(F.col(f"z{i}") - F.col("top")) / F.col("total")).alias("p"), F.lit(-i).alias("order"), F.lit(names[i]).alias("name"), F.element_at("cover", i + 1).alias("cover")) for i in range(1, len(names))]
     best = logits.withColumn("top", top).withColumn("total", total).withColumn("best", F.array_max(F.array(*classes)))
-    sure = F.col("at").isNotNull() & (F.col("best.p") >= threshold)
-    stands = sure & (F.col("best.cover") >= coverage)
-    out = best.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max(F.when(stands, F.col("best"))).alias("best"),
-        F.count(F.when(sure, F.lit(1))).alias("n_notices"),
-        F.sort_array(F.collect_set(F.when(stands, F.col("best.name")))).alias("families"),
-    )
+    stands = F.col("best.cover") >= coverage
+    sure = F.col("at").isNotNull() & (F.col("best.p") >= threshold) & (stands | (F.col("at") == F.col("last")))
+    ranked = F.struct((~stands).alias("open"), (-F.col("best.cover")).alias("c"), (F.col("last") - F.col("at")).alias("n"), (-F.col("best.p")).alias("q"), "at", "last", "best")
+    found = best.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(sure, ranked))).alias("found"))
+    kind = found.schema["found"].dataType.simpleString()
+    kept = F.aggregate("found", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (y["at"] <= x["last"]) & (x["at"] <= y["last"])), acc).otherwise(F.concat(acc, F.array(x))))
+    found = _once(found, kept, "kept")
+    found = _once(found, F.transform(F.filter("kept", lambda x: ~x["open"]), lambda x: x["best"]), "standing")
+    out = found.select("doc_id", F.array_max("standing").alias("best"), F.size("kept").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.transform("standing", lambda x: x["name"]))).alias("families"))
     return out.select(
         "doc_id", F.coalesce("best.name", F.lit(UNKNOWN)).alias("license"), F.round(F.coalesce("best.p", F.lit(0.0)), 6).alias("probability"),
         F.round(F.coalesce("best.cover", F.lit(0.0)), 6).alias("coverage"), F.col("best").isNotNull().alias("confirmed"), "n_notices", F.concat_ws(",", "families").alias("families"),

@@ -273,6 +273,18 @@ def test_licenses(spark):
     assert scan(frame(spark, docs)).count() == len(docs)
 
 
+MIT = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files"
+
+
+def test_licenses_wrapped(spark):
+    nc = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
+    narrow = "\n".join("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met".split())
+    docs = [(20, MIT), (21, f"a letter\n\n# {MIT}\n\nmore"), (22, nc), (23, narrow), (24, MIT.replace("any\n", "any\n\n")), (25, f"{MIT}\nAll rights reserved.\n{nc}")]
+    got = {r.doc_id: r for r in scan(frame(spark, docs)).collect()}
+    assert [got[i].families for i in range(20, 26)] == ["mit", "mit", "cc-by-nc", "bsd", "", "cc-by-nc,mit,proprietary"]
+    assert [got[i].n_notices for i in (20, 21, 22, 23, 25)] == [1, 1, 1, 1, 3] and got[22].coverage == 1
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(e).collect()}
