@@ -130,8 +130,17 @@ def _tokens(text: Column) -> Column:
 
 @lru_cache(maxsize=4)
 def _anchors(coverage: float) -> tuple[str, ...]:
-    """Words that only notices have."""
+    """Words of which every text has one that covers enough of any template.
+
+    Besides the words that only notices have, each template gives its rarest words
+    until what is left of it cannot reach the coverage.
+    """
     anchors = {w for t in TEMPLATES.values() for x in t for w in _WORD.findall(x.lower()) if len(w) > 2} - set(FILLER) | {"license", "licensed", "rights"}
+    for t in sorted(x for t in TEMPLATES.values() for x in t):
+        words = set(_WORD.findall(t.lower()))
+        rest = sorted(words - anchors, key=lambda w: (w in FILLER, w.isdigit(), len(w) < 2, w))
+        while rest and len(rest) >= coverage * len(words):
+            anchors.add(rest.pop(0))
     return tuple(sorted(anchors))
 
 

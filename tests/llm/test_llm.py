@@ -285,6 +285,13 @@ def test_licenses_wrapped(spark):
     assert [got[i].n_notices for i in (20, 21, 22, 23, 25)] == [1, 1, 1, 1, 3] and got[22].coverage == 1
 
 
+def test_licenses_gate(spark):
+    docs = [(20, "CC BY-SA 4.0"), (21, "CC BY-NC 4.0"), (22, "This text is available under CC BY-SA 4.0."), (23, "text under\nCC BY-ND\n4.0 here"), (24, "by 4 of the 0 under"), (25, MIT), (26, "a_mit_license, GPL-3.0-or-later")]
+    rows = {gated: {r.doc_id: r for r in scan(frame(spark, CASES[:3] + docs), gated=gated).collect()} for gated in (True, False)}
+    assert rows[True] == rows[False]
+    assert [rows[True][i].license for i in (20, 21, 22, 23, 25)] == ["cc-by-sa", "cc-by-nc", "cc-by-sa", "cc-by-nd", "mit"]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(e).collect()}
