@@ -55,41 +55,74 @@ def traverse(edges: DataFrame, start, depth: int, label: str | None = None) -> D
     return seen
 
 
-def shortest_path(edges: DataFrame, start, target, most: int = 50) -> DataFrame:
-    """One row ``path``: the node list, least first among equals; no row if there is none."""
+def shortest_path(edges: DataFrame, start, target, most: int | None = None) -> DataFrame:
+    """One row ``path``: the node list, least first among equals; no row if there is none.
+
+    Ends when the frontier is empty, or after ``most`` hops if given.
+    """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     front = spark.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>")
     seen = front.select("id")
-    for _ in range(most + 1):
+    hops = 0
+    while True:
         hit = front.where(F.col("id") == target).select("path")
         if not hit.isEmpty():
             return hit
+        if hops == most:
+            return hit
+        hops += 1
         step = edges.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("p"))
         front = cut(step.join(seen, "id", "left_anti").select("id", F.concat("p", F.array("id")).alias("path")))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front.select("id"))
-    return front.select("path").limit(0)
+            return front.select("path")
+        seen = cut(seen.unionByName(front.select("id")))
+
 
+def _relaxed(edges: DataFrame, start, most: int | None) -> DataFrame:
+    """``id, distance, prev, hops`` of all nodes reached; ``prev`` is the node before on a path of least distance.
 
-def distances(edges: DataFrame, start, most: int = 100) -> DataFrame:
-    """``id, distance`` by relaxing non-negative weights (default 1) until nothing improves."""
+    Among equal distances the fewest hops count, then the least predecessor.
+    Hops grow along ``prev``, so edges of weight 0 make no circles.
+    """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    hop = edges.groupBy("src", "dst").agg(F.min(w).alias("w"))
-    best = spark.createDataFrame([(start, 0.0)], f"id {kind}, distance double")
-    front = best
-    for _ in range(most):
-        step = hop.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("d"))
-        front = cut(step.join(best.withColumnRenamed("distance", "_old"), "id", "left").where(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).select("id", F.col("d").alias("distance")))
+    hop = cut(edges.groupBy("src", "dst").agg(F.min(w).alias("w")))
+    if not hop.where("w < 0").isEmpty():
+        raise ValueError("weights must not be negative")
+    best = spark.createDataFrame([(start, 0.0, None, 0)], f"id {kind}, distance double, prev {kind}, hops long")
+    front, rounds = best, 0
+    while rounds != most:
+        rounds += 1
+        way = F.struct((F.col("distance") + F.col("w")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev"))
+        step = hop.join(front.select(F.col("id").alias("src"), "distance", "hops"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(way).alias("new"))
+        old = best.select("id", F.struct("distance", "hops", "prev").alias("old"))
+        front = cut(step.join(old, "id", "left").where(F.col("old").isNull() | (F.col("new") < F.col("old"))).select("id", "new.distance", "new.prev", "new.hops"))
         if front.isEmpty():
             break
-        best = cut(best.unionByName(front).groupBy("id").agg(F.min("distance").alias("distance")))
+        best = cut(best.join(front.select("id"), "id", "left_anti").select("id", "distance", "prev", "hops").unionByName(front))
     return best
 
 
+def distances(edges: DataFrame, start, most: int | None = None) -> DataFrame:
+    """``id, distance`` by relaxing non-negative weights (default 1) until nothing improves, or for ``most`` rounds if given."""
+    return _relaxed(edges, start, most).select("id", "distance")
+
+
+def shortest_path_weighted(edges: DataFrame, start, target) -> DataFrame:
+    """One row ``path, distance``: the node list of least distance; no row if there is none.
+
+    Predecessors are followed from the target, one join a hop.
+    """
+    best = _relaxed(edges, start, None)
+    walk = best.where(F.col("id") == target).select(F.array("id").alias("path"), "prev", "distance")
+    while not (more := walk.where(F.col("prev").isNotNull())).isEmpty():
+        step = best.select(F.col("id").alias("prev"), F.col("prev").alias("_before"))
+        walk = cut(more.join(step, "prev").select(F.concat(F.array("prev"), "path").alias("path"), F.col("_before").alias("prev"), "distance"))
+    return walk.select("path", "distance")
+
+
 def depth_first(edges: DataFrame, start, hops: int) -> DataFrame:
     """The set that a depth-first walk of bounded length can reach (each node at its least depth).
 

@@ -43,6 +43,23 @@ def test_paths(spark):
     assert rows(graph.distances(e, 1)) == [(1, 0.0), (2, 2.0), (3, 1.0), (4, 3.0)]
 
 
+def test_long_paths(spark):
+    n = 103
+    data = [(i, "a", i + 1, 1.0) for i in range(n)] + [(0, "a", n, 500.0)]
+    e = spark.createDataFrame(data, "src long, label string, dst long, weight double").coalesce(1)
+    chain = e.where("weight < 500")
+    assert graph.shortest_path(chain, 0, 52).first().path == list(range(53))
+    assert {r.id: r.distance for r in graph.distances(e, 0).collect()} == {i: float(i) for i in range(n + 1)}
+
+
+def test_weighted_paths(spark):
+    data = [(1, 2, 5.0), (1, 3, 1.0), (3, 2, 1.0), (2, 4, None), (4, 1, 0.0), (2, 3, 0.0), (9, 1, 1.0)]
+    e = spark.createDataFrame([(s, "a", d, w) for s, d, w in data], "src long, label string, dst long, weight double").coalesce(1)
+    assert rows(graph.shortest_path_weighted(e, 1, 4)) == [([1, 3, 2, 4], 3.0)]
+    assert rows(graph.shortest_path_weighted(e, 1, 1)) == [([1], 0.0)]
+    assert graph.shortest_path_weighted(e, 1, 9).count() == 0
+
+
 def test_text(spark):
     d = spark.createDataFrame([(1, "Fast storage, fast search"), (2, "Graph and vector search"), (3, None)], "id long, text string")
     assert rows(text.search(d, "id", "FAST", "text")) == [(1,)]
