@@ -298,6 +298,12 @@ def test_components(spark):
     assert {got[i] for i in range(21)} == {0} and {got[i] for i in range(100, 130)} == {100}
 
 
+def test_components_converge_or_raise(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(e, most_rounds=1)
+
+
 def test_similar(spark):
     base = [f"t{i}" for i in range(60)]
     near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (0, 1, 58, 59, 30)]
