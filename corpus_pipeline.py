@@ -8,7 +8,7 @@ more than once, so between stages the documents are a written table.
 * near_duplicates: of each class of documents linked by a 5-word-shingle Jaccard
   similarity of 0.8 or more, the one of the least doc_id stays.
 * decontamination: documents that hold any eight-word window of a benchmark item
-  go (one item is enough here).
+  go (one item is enough here), and those with hits of two items of any length.
 * packing: what is left, as token sequences of at most 1024.
 
 Null texts count as empty and are kept; empty tables pass through every stage.
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated"))
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated or whole"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

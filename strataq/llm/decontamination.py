@@ -67,7 +67,7 @@ def decontaminate(
     """One row a document: ``doc_id, n_words, n_hit, n_items, items, contaminated``.
 
     ``items`` are the sorted ids, as strings, of items with a window in the
-    document.  A null or empty text has no words and no hits; items without
+    document; ``whole`` is whether one of the windows has all eight words.  A null or empty text has no words and no hits; items without
     words or without an id have no windows; repeated rows of documents each have
     a row, repeated items count once; empty tables give no rows or no hits; only
     the named columns are read.  Documents are scanned once.  The benchmark's
@@ -108,9 +108,9 @@ def decontaminate(
         lambda a, s: F.struct(F.greatest(a["end"], end_of(s)).alias("end"), (a["n"] + F.greatest(end_of(s) - F.greatest(a["end"], s["at"]), F.lit(0))).alias("n")),
         lambda a: a["n"],
     )
-    rows = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), covered.alias("n_hit"))
+    rows = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), F.max(F.col("span") == SPAN).alias("whole"))
     pairs = hits.where(F.col("span") > 0).select("row", "window").distinct().join(windows.select("window", "item"), "window").select("row", "item").distinct()
     lists = pairs.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = rows.join(lists, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     n_items = F.size("items").cast("long")
-    return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), "items", (n_items >= min_items).alias("contaminated"), "row")
+    return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), "items", (n_items >= min_items).alias("contaminated"), "row", "whole")

@@ -323,6 +323,16 @@ def test_similar(spark):
     assert similar(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_pipeline_keeps_documents_with_one_short_item(spark, tmp_path):
+    import corpus_pipeline
+
+    long = "one two three four five six seven eight nine"
+    spark.createDataFrame([(1, "the"), (2, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [(20, "the cat and the dog " * 9), (21, f"so {long} and more"), (22, "nothing here")])
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {20, 22}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
