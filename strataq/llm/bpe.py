@@ -1,10 +1,11 @@
 """Byte-level BPE ids through the ``tokenizers`` library, with a chunk cache.
 
-``Tokenizer.encode`` spends most of its time on offsets and alignments that
-nobody here reads.  For a byte-level BPE file the same ids come from three
-cheap steps: cut the text at single spaces (a word always starts there), look
-each chunk up in a per-worker cache, and give what is new to the library's own
-BPE model.  Any other kind of tokenizer file goes through ``encode_batch``.
+``Tokenizer.encode`` on whole texts spends most of its time on words that it has
+met before.  For a byte-level BPE file a word always starts at a single space, so
+a text is cut there and each chunk looked up in a per-worker cache; the distinct
+new chunks of many texts go through the library joined, in few calls, and the ids
+that open with a space tell where each chunk begins.  Texts that hold a special
+token's string, and any other kind of tokenizer file, go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,26 +14,22 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from strataq.llm.common import worker_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: entries (about 150 bytes each) at which a worker's cache becomes the old generation;
+#: entries (about 200 bytes each) at which a worker's cache becomes the old generation;
 #: what is asked for again moves to the new one, the rest goes with the next change
 CACHE_ENTRIES = 200_000
+#: texts, and characters about, that are encoded together; new chunks in one call of the library
+TEXTS, CHARS, JOINED = 256, 1 << 20, 1000
 
-_UNSAFE = re.compile(r"\s | \s|^ ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ASCII_SPACES = [chr(c) for c in range(128) if chr(c).isspace() and c != 32]
-
-
-def _cuts(text: str) -> list[str]:
-    """What stands between single spaces with no white space on either side."""
-    if text.isascii():  # searches for one character are far cheaper than the pattern
-        unsafe = text[0] == " " or text[-1] == " " or "  " in text
-        unsafe = unsafe or any(c in text and (c + " " in text or " " + c in text) for c in _ASCII_SPACES)
-    else:
-        unsafe = _UNSAFE.search(text)
-    return _CUT.split(text) if unsafe else text.split(" ")
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,102 +38,113 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """Byte-level BPE writes each byte as one printable character: bytes that
-    print stand for themselves, the others move up from code point 256."""
-    keep = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    moved = [b for b in range(256) if b not in set(keep)]
-    return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(moved)}
-
-
 class BpeEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
+    """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
+
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the
+    string of a special token in a text is that token.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         model = spec.get("model") or {}
+        added = spec.get("added_tokens") or ()
         self._plain = (
             model.get("type") == "BPE"
             and pre.get("type") == "ByteLevel"
             and not pre.get("add_prefix_space", True)
             and pre.get("use_regex", True)
             and not spec.get("normalizer")
-            and not any(not a.get("special") for a in spec.get("added_tokens") or ())
         )
-        self._alphabet = _byte_alphabet()
-        self._space = self._alphabet[32]
-        self._chunks: dict[str, bytes] = {}  # of what stands between two single spaces
-        self._pieces: dict[str, bytes] = {}  # of words with their own space
-        self._old_chunks: dict[str, bytes] = {}
-        self._old_pieces: dict[str, bytes] = {}
+        self._special = tuple(a["content"] for a in added)
+        vocab = model.get("vocab") or {}
+        #: ids that open with a space, which byte-level BPE writes as the letter 256 + 32
+        self._opens = np.zeros(1 + max([*vocab.values(), *(a["id"] for a in added)], default=0) if self._plain else 1, bool)
         if self._plain:
-            import public_tokenizers
-            import regex
-
-            self._merge = self._tok.model.tokenize
-            self._words = regex.compile(public_tokenizers.PATTERN).findall
-
-    def _word(self, word: str) -> bytes:
-        if word.isascii() and word[1:].isalpha() and word[0] == " ":
-            letters = self._space + word[1:]
-        else:
-            letters = word.encode("utf-8", "replace").decode("latin-1").translate(self._alphabet)
-        return array("I", [t.id for t in self._merge(letters)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        out = self._old_chunks.get(chunk)
-        if out is not None:
-            pass
-        elif chunk.isalpha():
-            out = self._word(" " + chunk)
-        elif chunk[:-1].isalpha() and chunk[-1].isascii() and not chunk[-1].isalnum() and not chunk[-1].isspace():
-            head = self._chunks.get(chunk[:-1])  # letters and one mark: two words of the pattern
-            out = (self._chunk(chunk[:-1]) if head is None else head) + self._piece(chunk[-1])
-        else:
-            out = b"".join(map(self._piece, self._words(" " + chunk)))
-        if len(chunk) <= 64:
-            self._chunks[chunk] = out
-        return out
-
-    def _piece(self, word: str) -> bytes:
-        ids = self._pieces.get(word)
-        if ids is None:
-            ids = self._old_pieces.get(word)
-            if ids is None:
-                ids = self._word(word)
-            if len(word) <= 64:
-                self._pieces[word] = ids
-        return ids
+            self._opens[[i for t, i in vocab.items() if t[0] == chr(288)]] = True
+        self._chunks: dict[str, bytes] = {}  # of what stands between two single spaces
+        self._old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        return self.encode_many([text])[0]
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks, each behind a space, into the cache."""
+        old, known, fresh = self._old, self._chunks, []
+        for c in chunks:
+            ids = old.get(c)
+            if ids is not None:
+                known[c] = ids
+            elif " " in c:
+                known[c] = self._whole(" " + c)
+            else:
+                fresh.append(c)
+        blocks = [fresh[i : i + JOINED] for i in range(0, len(fresh), JOINED)]
+        for block, got in zip(blocks, self._tok.encode_batch_fast([" " + " ".join(b) for b in blocks], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            starts = (4 * np.flatnonzero(self._opens[ids])).tolist()
+            if len(starts) != len(block):
+                raise RuntimeError("the library's ids do not open where the chunks do")
+            data = ids.tobytes()
+            known.update(zip(block, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids by text; an empty text has none."""
         if not self._plain:
-            return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = _cuts(text)
-        if len(self._chunks) > CACHE_ENTRIES:
-            self._old_chunks, self._chunks = self._chunks, {}
-        if len(self._pieces) > CACHE_ENTRIES:
-            self._old_pieces, self._pieces = self._pieces, {}
-        head = b"".join(map(self._piece, self._words(parts[0])))
-        del parts[0]
-        found = list(map(self._chunks.get, parts))
-        if None in found:
-            found = [self._chunk(p) if ids is None else ids for p, ids in zip(parts, found)]
-        return head + b"".join(found)
-
-
-_ENCODERS: dict[str, BpeEncoder] = {}
+            return [self._whole(t) if t else b"" for t in texts]
+        known = self._chunks
+        out: list = [b""] * len(texts)
+        todo, new = [], set()
+        for i, text in enumerate(texts):
+            if any(s in text for s in self._special):
+                out[i] = self._whole(text)
+            elif text:
+                head, *parts = text.split(" ")
+                found = list(map(known.get, parts))
+                if None in found:
+                    fresh = {p for p, ids in zip(parts, found) if ids is None}
+                    if not head or any(not p or p[0].isspace() or p[-1].isspace() for p in fresh) or head[-1].isspace():
+                        head, *parts = _CUT.split(text)  # white space of more than one character stays in a chunk
+                        fresh = {p for p in parts if p not in known}
+                    todo.append((i, head, parts))
+                    new |= fresh
+                elif not head or head[-1].isspace():
+                    head, *parts = _CUT.split(text)
+                    todo.append((i, head, parts))
+                    new |= {p for p in parts if p not in known}
+                else:
+                    out[i] = self._whole(head) + b"".join(found)
+        if new:
+            self._learn(list(new))
+        for i, head, parts in todo:
+            out[i] = self._whole(head) + b"".join(map(known.__getitem__, parts))
+        if len(known) > CACHE_ENTRIES:
+            self._old, self._chunks = known, {}
+        return out
 
 
 def encoder(path: str) -> BpeEncoder:
     """One encoder a worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BpeEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache(("bpe", path), lambda: BpeEncoder(path))
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
+    """(key, ids) of each row of batches of keys and texts; null texts count as empty."""
+    enc, keys, texts, size = encoder(path), [], [], 0
+    for b in batches:
+        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+            keys.append(key)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if len(texts) >= TEXTS or size >= CHARS:
+                yield from zip(keys, enc.encode_many(texts))
+                keys, texts, size = [], [], 0
+    yield from zip(keys, enc.encode_many(texts))

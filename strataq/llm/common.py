@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,3 +37,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_HELD: dict[tuple, Any] = {}
+
+
+def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks: one thing, so that workers which
+    serve one operator after another do not add up what all of them hold."""
+    if key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            _give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system rather than into this process's pools."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.bpe import default_path, encoder
+from strataq.llm.bpe import default_path, encoded
 
 #: sequence ids: the task's number times this, plus a count from 0
 SEQUENCES_A_TASK = 1 << 40
@@ -146,21 +146,19 @@ def pack(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         packer = _Packer(capacity, group_windows, cut, slack, TaskContext.get().partitionId() * SEQUENCES_A_TASK)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         rows, size = [], 0
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for piece in packer.add(doc, memoryview(enc.encode(text.as_py() or "") + end)):
-                    rows.append(piece)
-                    size += piece[2]
-                    if size >= 1 << 20:
-                        yield batch(rows)
-                        rows, size = [], 0
+        for doc, ids in encoded(batches, path):
+            for piece in packer.add(doc, memoryview(ids + end)):
+                rows.append(piece)
+                size += piece[2]
+                if size >= 1 << 19:
+                    yield batch(rows)
+                    rows, size = [], 0
         rows += packer.flush()
         if rows:
             yield batch(rows)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.llm.common import worker_cache
+
 MARK = "▁"
 #: pre-tokens whose counts a worker keeps before it starts anew
 CACHE_ENTRIES = 300_000
@@ -84,16 +86,9 @@ class PieceModel:
         return out
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
-def model(path: str) -> PieceModel:
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
-
-
-_KNOWN: dict[str, int] = {}
+def counter(path: str) -> tuple[PieceModel, dict[str, int]]:
+    """A worker's model of a file, and the counts of pre-tokens by that model."""
+    return worker_cache(("pieces", path), lambda: (PieceModel(path), {}))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
@@ -109,20 +104,20 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m, known = counter(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 words = [t.split() for t in texts]
-                if len(_KNOWN) > CACHE_ENTRIES:
-                    _KNOWN.clear()
-                fresh = {w for ws in words for w in ws if w not in _KNOWN}
+                if len(known) > CACHE_ENTRIES:
+                    known.clear()
+                fresh = {w for ws in words for w in ws if w not in known}
                 if fresh:
                     marked = m.counts([MARK + w for w in fresh])
                     for w in fresh:
-                        _KNOWN[w] = marked[MARK + w]
-                get = _KNOWN.__getitem__
+                        known[w] = marked[MARK + w]
+                get = known.__getitem__
                 cols = [part.column(0), [len(w) for w in words], [sum(map(get, w)) for w in words], [len(t.encode("utf-8", "replace")) for t in texts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import simple8b
-from strataq.llm.bpe import default_path, encoder
+from strataq.llm.bpe import default_path, encoded
 from strataq.llm.common import scratch_dir
 
 #: ids after which a segment ends (a longer document has a segment of its own)
@@ -48,7 +48,7 @@ def write_tokens(
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(tok), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         keys, parts, sizes, before, segment = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
@@ -57,17 +57,15 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema)], schema=schema)
 
         held = 0
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(text.as_py() or "") + end
-                keys.append(doc)
-                parts.append(ids)
-                sizes.append(len(ids) // 4)
-                held += sizes[-1]
-                if held >= segment_ids:
-                    yield close()
-                    before, segment, held = before + held, segment + 1, 0
-                    keys, parts, sizes = [], [], []
+        for doc, ids in encoded(batches, tok):
+            keys.append(doc)
+            parts.append(ids + end)
+            sizes.append(len(parts[-1]) // 4)
+            held += sizes[-1]
+            if held >= segment_ids:
+                yield close()
+                before, segment, held = before + held, segment + 1, 0
+                keys, parts, sizes = [], [], []
         if keys:
             yield close()
 

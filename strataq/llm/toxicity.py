@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import written
+from strataq.llm.common import worker_cache, written
 
 # Insults, and words that report speech.
 SEEDS = ("clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -161,15 +161,8 @@ class Scorer:
         ]
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(terms: list) -> Scorer:
-    key = hash(tuple(terms))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(terms)
-    return _SCORERS[key]
+    return worker_cache(("terms", *terms), lambda: Scorer(terms))
 
 
 def _terms_of(text: str) -> set[tuple[str, int]]:

@@ -1,5 +1,6 @@
 """The operators against brute force on small tables: nulls, empties, repeats, ties, clashing columns."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -20,7 +21,7 @@ from strataq.llm.licenses import scan  # noqa: E402
 from strataq.llm.lm_scoring import score as lm_score  # noqa: E402
 from strataq.llm.packing import difference, pack, windows  # noqa: E402
 from strataq.llm.sharding import fisher_yates, shard  # noqa: E402
-from strataq.llm.token_counts import MARK, count_tokens, default_path as pieces, model  # noqa: E402
+from strataq.llm.token_counts import MARK, count_tokens, default_path as pieces, counter  # noqa: E402
 from strataq.llm.token_files import round_trip  # noqa: E402
 from strataq.llm.top_k import top_k  # noqa: E402
 from strataq.llm.toxicity import STEM, WORD, Lexicon, score as toxicity_score  # noqa: E402
@@ -38,7 +39,6 @@ def bare(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -47,6 +47,19 @@ def test_encoder_is_the_librarys():
         assert np.frombuffer(encoder(default_path()).encode(text or ""), "<u4").tolist() == bare(text)
 
 
+def test_encoder_on_odd_strings():
+    """White space of every kind, marks, special tokens: in batches, as the library has them one by one."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(default_path()), random.Random(1)
+    parts = ["a", "b", " ", "  ", "\n", "é", "中", "\xa0", "1", ".", "'s", "<|endoftext|>", "\t", "_", "Th", "the", "\x1c", "\u3000"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    for at in range(0, len(texts), 256):
+        for text, ids in zip(texts[at : at + 256], encoder(default_path()).encode_many(texts[at : at + 256])):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert bare("a<|endoftext|>b") == [64, 50256, 65]
+
+
 def test_difference_keeps_items():
     sizes = [8, 7, 6, 5, 4]
     out = difference(sizes, 2)
@@ -76,7 +89,7 @@ def test_pack(spark):
 
 
 def test_token_counts(spark):
-    m = model(pieces())
+    m, _ = counter(pieces())
 
     def best(word):  # all segmentations, by dynamic programming on every substring
         f = [(0.0, 0)]
