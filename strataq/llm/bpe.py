@@ -25,7 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: entries (about 200 bytes each) at which a worker's cache becomes the old generation;
 #: what is asked for again moves to the new one, the rest goes with the next change
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 #: texts, and characters about, that are encoded together; new chunks in one call of the library
 TEXTS, CHARS, JOINED = 256, 1 << 20, 1000
 
@@ -67,6 +67,7 @@ class BpeEncoder:
         self._opens = np.zeros(1 + max([*vocab.values(), *(a["id"] for a in added)], default=0) if self._plain else 1, bool)
         if self._plain:
             self._opens[[i for t, i in vocab.items() if t[0] == chr(288)]] = True
+        self._marks = {m: self._whole(m) for m in ".,;:!?"} if self._plain else {}
         self._chunks: dict[str, bytes] = {}  # of what stands between two single spaces
         self._old: dict[str, bytes] = {}
 
@@ -78,11 +79,13 @@ class BpeEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new chunks, each behind a space, into the cache."""
-        old, known, fresh = self._old, self._chunks, []
+        old, known, marks, fresh = self._old, self._chunks, self._marks, []
         for c in chunks:
             ids = old.get(c)
             if ids is not None:
                 known[c] = ids
+            elif c[-1] in marks and (ids := known.get(c[:-1])) is not None and c[:-1].isalpha():
+                known[c] = ids + marks[c[-1]]  # letters and one mark are two words
             elif " " in c:
                 known[c] = self._whole(" " + c)
             else:

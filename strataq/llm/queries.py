@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from strataq.llm import pipeline
 from strataq.llm.common import table
 from strataq.llm.decontamination import decontaminate
 from strataq.llm.jaccard_join import similar
@@ -80,7 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
