@@ -1,68 +1,5 @@
-"""The corpus pipeline: toxicity, near duplicates, decontamination, packing.
+"""The corpus pipeline of ``strataq.llm``: its stages, the whole of them, and their SQL."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
-All but the last return the columns of ``documents``.  A stage reads its input
-more than once, so between stages the documents are a written table.
+from strataq.llm.pipeline import ORACLE_SQL, STAGES, run
 
-* toxicity: documents whose score reaches 0.7 go.
-* near_duplicates: of each class of documents linked by a 5-word-shingle Jaccard
-  similarity of 0.8 or more, the one of the least doc_id stays.
-* decontamination: documents that hold any eight-word window of a benchmark item
-  go (one item is enough here), and those with hits of two items of any length.
-* packing: what is left, as token sequences of at most 1024.
-
-Null texts count as empty and are kept; empty tables pass through every stage.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strataq.llm.common import table, written
-from strataq.llm.decontamination import decontaminate
-from strataq.llm.jaccard_join import similar
-from strataq.llm.packing import pack
-from strataq.llm.toxicity import score
-
-#: expressible stages would need SQL for all four; toxicity and packing have none
-ORACLE_SQL = None
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score(docs, table(spark, sf_dir, "labels"), threshold=0.7, carry=tuple(docs.columns))
-    return scored.where("predicted = 0").select(docs.columns)
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose place in the scan is not among ``gone.row``."""
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    return placed.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").select(docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, similar(docs, n=5, threshold=0.8).where("not kept"))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated or whole"))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = pack(docs, end_id=0)
-    return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-STAGES = [
-    ("toxicity", toxicity),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("packing", packing),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
