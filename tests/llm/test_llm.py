@@ -329,8 +329,8 @@ def test_attention_training_covers_the_corpus(spark, monkeypatch):
     from strataq.llm import lm_scoring
     from strataq.llm.attention_lm import SYMBOLS, Symbols
 
-    rows = [(i, np.full(4000, 5 + i, "<u2").tobytes(), True, 4000) for i in range(40)]
-    train = spark.createDataFrame(rows, "row long, ids binary, last boolean, n long")
+    rows = [(i, lm_scoring._narrow(np.full(4000, 5 + i)), True, 2000, 4000) for i in range(40)]
+    train = spark.createDataFrame(rows, "row long, ids binary, last boolean, n long, m long")
     counts = np.zeros(300)
     counts[5:45] = 4000
     names = [bytes([i % 256, i // 256]) for i in range(300)]
