@@ -43,6 +43,7 @@ def traverse(edges: DataFrame, start, depth: int, label: str | None = None) -> D
     """
     spark = edges.sparkSession
     hop = (edges if label is None else edges.where(F.col("label") == label)).select("src", "dst")
+    hop = cut(hop) if depth > 1 else hop  # an edge table that is itself a plan is worked out once
     kind = edges.schema["src"].dataType.simpleString()
     seen = spark.createDataFrame([(start, 0)], f"id {kind}, depth int")
     frontier = seen
@@ -64,6 +65,7 @@ def shortest_path(edges: DataFrame, start, target, most: int | None = None) -> D
     kind = edges.schema["src"].dataType.simpleString()
     front = spark.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>")
     seen = front.select("id")
+    edges = cut(edges.select("src", "dst").distinct())
     hops = 0
     while True:
         hit = front.where(F.col("id") == target).select("path")

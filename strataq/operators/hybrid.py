@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.session import cut
+
 DEFAULT_WEIGHTS = (0.34, 0.33, 0.33)
 
 # The cost of each model's index and the index's name, cheapest first.
@@ -19,9 +21,17 @@ def plan_order(models: list[str]) -> list[str]:
 
 
 def graph_scores(visits: DataFrame) -> DataFrame:
-    """1 / (rank + 1) by (depth, id) of a traversal; visits are few, so one window orders them."""
-    rank = F.row_number().over(Window.orderBy("depth", "id"))
-    return visits.select("id", (F.lit(1.0) / rank).alias("graph"))
+    """1 / (rank + 1) by (depth, id) of a traversal.
+
+    Visits are ranked within ranges of (depth, id), whose sizes give each range its
+    first rank, so no task orders all of them; the ranges are as many as partitions.
+    """
+    ranged = cut(visits.select("depth", "id").repartitionByRange("depth", "id").withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("depth", "id"))
+    ranked = ranged.withColumn("_rank", rank).join(F.broadcast(before), "_part")
+    return ranked.select("id", (F.lit(1.0) / (F.col("_before") + F.col("_rank"))).alias("graph"))
 
 
 def combine(text: DataFrame, vector: DataFrame, graph: DataFrame, k: int, weights=DEFAULT_WEIGHTS, overrides: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Versioned key-value state: an append-only table ``cf, key, seq, op, value, expires_at_ms``.
+"""Versioned key-value state: an append-only table ``cf, key, seq[, op_index], op, value, expires_at_ms``.
+
+Versions are in the order of their sequence and, within a batch, of ``op_index``.
 
 ``op`` is put, merge or delete.  Reading folds a key's versions up to a snapshot:
 the last put or delete is the base (an expired put is none), later merges apply
@@ -18,11 +20,11 @@ def _sum_i64(base: Column, deltas: Column) -> Column:
 
 
 def _max_u64(base: Column, deltas: Column) -> Column:
-    return F.greatest(F.coalesce(base.cast("long"), F.lit(0)), F.max(deltas.cast("long")))
+    return F.greatest(F.coalesce(base.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")), F.max(deltas.cast("decimal(20,0)")))
 
 
 def _append(base: Column, deltas: Column) -> Column:
-    parts = F.array_sort(F.collect_list(F.when(deltas.isNotNull(), F.struct("seq", deltas.cast("string").alias("v")))))
+    parts = F.array_sort(F.collect_list(F.when(deltas.isNotNull(), F.struct("_at", deltas.cast("string").alias("v")))))
     return F.concat(F.coalesce(base.cast("string"), F.lit("")), F.array_join(F.transform(parts, lambda p: p["v"]), ""))
 
 
@@ -38,12 +40,18 @@ def mvcc_visible(create: str, delete: str, snapshot: int) -> Column:
     return (F.col(create) <= snapshot) & (F.col(delete).isNull() | (F.col(delete) > snapshot))
 
 
+def _placed(versions: DataFrame) -> DataFrame:
+    """With ``_at``, the place of a version in the order of all."""
+    index = F.col("op_index") if "op_index" in versions.columns else F.lit(0)
+    return versions.withColumn("_at", F.struct(F.col("seq").alias("seq"), index.alias("op_index")))
+
+
 def state(versions: DataFrame, snapshot: int = LATEST, now_ms: int = 0, merge: str = "append_bytes") -> DataFrame:
     """``cf, key, value`` of what is visible at the snapshot.  One shuffle, on (cf, key)."""
-    base_seq = F.max(F.when(F.col("op") != "merge", F.col("seq"))).over(Window.partitionBy("cf", "key"))
-    rows = versions.where(F.col("seq") <= snapshot).withColumn("_base", base_seq)
-    rows = rows.where(F.col("_base").isNull() | (F.col("seq") >= F.col("_base")))
-    is_base = (F.col("op") == "put") & (F.col("seq") == F.col("_base")) & live("expires_at_ms", now_ms)
+    base_at = F.max(F.when(F.col("op") != "merge", F.col("_at"))).over(Window.partitionBy("cf", "key"))
+    rows = _placed(versions.where(F.col("seq") <= snapshot)).withColumn("_base", base_at)
+    rows = rows.where(F.col("_base").isNull() | (F.col("_at") >= F.col("_base")))
+    is_base = (F.col("op") == "put") & (F.col("_at") == F.col("_base")) & live("expires_at_ms", now_ms)
     base = F.max(F.when(is_base, F.col("value")))
     is_delta = F.col("op") == "merge"
     folded = MERGES[merge](base, F.when(is_delta, F.col("value")))
@@ -73,8 +81,8 @@ def scan_prefix(versions: DataFrame, prefix: str, limit: int | None = None, **op
 
 def latest_version(versions: DataFrame, snapshot: int = LATEST) -> DataFrame:
     """The last put or delete of each key."""
-    rows = versions.where((F.col("seq") <= snapshot) & (F.col("op") != "merge"))
-    return rows.groupBy("cf", "key").agg(F.max("seq").alias("seq"), F.max_by(F.struct("op", "value"), "seq").alias("v")).select("cf", "key", "seq", "v.op", "v.value")
+    rows = _placed(versions.where((F.col("seq") <= snapshot) & (F.col("op") != "merge")))
+    return rows.groupBy("cf", "key").agg(F.max("seq").alias("seq"), F.max_by(F.struct("op", "value"), "_at").alias("v")).select("cf", "key", "seq", "v.op", "v.value")
 
 
 def compare_and_swap(versions: DataFrame, requests: DataFrame, merge: str = "append_bytes") -> DataFrame:
@@ -98,14 +106,14 @@ def compact(versions: DataFrame, style: str, pins: tuple[int, ...] = (), now_ms:
     fresh = versions.where(live("expires_at_ms", now_ms))
     if style == "tiered":
         return fresh
-    w = Window.partitionBy("cf", "key").orderBy(F.desc("seq"))
+    w = Window.partitionBy("cf", "key").orderBy(F.desc("_at"))
     if style == "universal":
-        return fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
+        return _placed(fresh).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n", "_at")
     whole = Window.partitionBy("cf", "key")
-    kept = (F.col("seq") == F.max("seq").over(whole)) & (F.col("op") != "delete") & live("expires_at_ms", now_ms)
+    kept = (F.col("_at") == F.max("_at").over(whole)) & (F.col("op") != "delete") & live("expires_at_ms", now_ms)
     for p in pins:
-        kept = kept | (F.col("seq") == F.max(F.when(F.col("seq") <= p, F.col("seq"))).over(whole))
-    return versions.withColumn("_k", F.coalesce(kept, F.lit(False))).where("_k").drop("_k")
+        kept = kept | (F.col("_at") == F.max(F.when(F.col("seq") <= p, F.col("_at"))).over(whole))
+    return _placed(versions).withColumn("_k", F.coalesce(kept, F.lit(False))).where("_k").drop("_k", "_at")
 
 
 def horizon(pins: list[int], latest: int) -> int:
@@ -118,7 +126,7 @@ def collectable(versions: DataFrame, at: int, delete: str = "delete_seq") -> Dat
 
 def index_stats(versions: DataFrame) -> DataFrame:
     """``cf, live_keys, versions, stale``, the most stale first."""
-    keys = versions.groupBy("cf", "key").agg(F.count("*").alias("n"), F.max_by("op", "seq").alias("last"))
+    keys = _placed(versions).groupBy("cf", "key").agg(F.count("*").alias("n"), F.max_by("op", "_at").alias("last"))
     out = keys.groupBy("cf").agg(F.count(F.when(F.col("last") != "delete", 1)).alias("live_keys"), F.sum("n").alias("versions"))
     return out.withColumn("stale", F.col("versions") - F.col("live_keys")).orderBy(F.desc("stale"), "cf")
 

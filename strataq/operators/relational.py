@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,12 @@ _OPS = {
 
 
 def predicate(df: DataFrame, attribute: str, operator: str, value=None) -> Column:
-    """A comparison under the record rules: a missing attribute, an unknown operator
-    or a literal that is not of the column's type makes it false."""
+    """A comparison for a filter, under the record rules: a missing attribute, an unknown
+    operator or a literal that is not of the column's type lets no row through.
+
+    The column stays bare and the literal has its type, so that the comparison
+    reaches the scan; of a missing value the result is null, which a filter drops.
+    """
     if attribute not in df.columns:
         return F.lit(False)
     c = F.col(attribute)
@@ -26,9 +31,24 @@ def predicate(df: DataFrame, attribute: str, operator: str, value=None) -> Colum
     if operator not in _OPS:
         return F.lit(False)
     kind = df.schema[attribute].dataType.simpleString()
-    if kind in ("smallint", "int", "bigint", "float") or kind.startswith("decimal"):
-        c, kind = c.cast("double") if not isinstance(value, int) else c, "double" if not isinstance(value, int) else "bigint"
-    return F.coalesce(_OPS[operator](c, F.lit(value).try_cast(kind)), F.lit(False))
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        try:
+            value = Decimal(str(value))
+        except InvalidOperation:
+            return F.lit(False)
+        if not value.is_finite():
+            return F.lit(False)
+        whole = value == value.to_integral_value()
+        if kind.endswith("int"):
+            if abs(value) >= 1 << 62 or not whole and operator in ("=", "==", "!=", "<>"):
+                return _OPS[operator](c.cast("double"), F.lit(float(value)))
+            # between two whole numbers, the one on the side that the comparison looks to
+            step = {"<": "<=", ">": ">="}.get(operator, operator) if not whole else operator
+            return _OPS[step](c, F.lit(int(value.to_integral_value(ROUND_FLOOR if operator[0] == "<" else ROUND_CEILING))))
+        if kind.startswith("decimal") and value.as_tuple().exponent >= -int(kind[:-1].split(",")[1]):
+            return _OPS[operator](c, F.lit(str(value)).try_cast(kind))
+        return _OPS[operator](c if kind == "double" else c.cast("double"), F.lit(float(value)))
+    return _OPS[operator](c, F.lit(value).try_cast(kind))
 
 
 def nest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.functions.scalar import ascii_lower, tokens
+from strataq.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -28,8 +29,8 @@ def search(docs: DataFrame, key: str, term: str, *fields: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, query: str, fields: tuple[str, ...], field: str | None = None) -> DataFrame:
     """``key, score`` of records with a query term; query terms count with multiplicity.
 
-    One pass tokenises each record to its length and its query terms' frequencies,
-    so only those terms are exploded and shuffled.  df is of ``field`` if given;
+    One pass tokenises each record to its length and its query terms' frequencies;
+    these few numbers are written, and the statistics and scores read them.  df is of ``field`` if given;
     the number of records and their mean length are always of all fields.
     """
     spark = docs.sparkSession
@@ -40,9 +41,11 @@ def bm25(docs: DataFrame, key: str, query: str, fields: tuple[str, ...], field:
     every = F.concat(*[text(f) for f in fields])
     wanted = text(field) if field else every
     distinct = sorted(set(terms))
-    base = docs.select(key, every.alias("_all"), wanted.alias("_in"))
-    times = lambda t: F.size(F.filter("_in", lambda x: x == t))
-    counted = base.select(key, F.size("_all").alias("dl"), *[times(t).alias(f"_t{i}") for i, t in enumerate(distinct)])
+    # exploding an array of one keeps the optimizer from tokenising anew in every expression below
+    base = docs.select(key, F.explode(F.array(F.struct(every.alias("all"), wanted.alias("in")) if field else F.struct(every.alias("all")))).alias("_w"))
+    inside = F.col("_w.in") if field else F.col("_w.all")
+    times = lambda t: F.size(F.filter(inside, lambda x: x == t))
+    counted = cut(base.select(key, F.size("_w.all").alias("dl"), *[times(t).alias(f"_t{i}") for i, t in enumerate(distinct)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"_t{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(distinct))])
     scored = counted.crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)

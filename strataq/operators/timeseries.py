@@ -30,8 +30,10 @@ def oldest(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
 
 def retained(df: DataFrame, ts: str, width_ms: int, retention_ms: int, now_ms: int) -> DataFrame:
     """Without whole buckets that start before now - retention."""
-    return df.where(bucket(F.col(ts), width_ms) >= F.lit(now_ms - retention_ms))
+    return drop_before(df, ts, width_ms, now_ms - retention_ms)
 
 
 def drop_before(df: DataFrame, ts: str, width_ms: int, cutoff_ms: int) -> DataFrame:
-    return df.where(bucket(F.col(ts), width_ms) >= F.lit(cutoff_ms))
+    """Without whole buckets that start before the cutoff: times from the first kept bucket's start on, so scans can skip the rest."""
+    first = -(-cutoff_ms // width_ms) * width_ms
+    return df.where(F.col(ts) >= F.timestamp_millis(F.lit(first)).cast(df.schema[ts].dataType))

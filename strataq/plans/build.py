@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from strataq.functions.scalar import text_relevance
 from strataq.functions.vectors import cosine
@@ -21,13 +22,19 @@ _WINDOWED = {
 }
 
 
+def _from_text(kind) -> bool:
+    """Whether a statement's literal can become a value of the type."""
+    return not isinstance(kind, (ArrayType, MapType, StructType))
+
+
 class Engine:
     """Collections by name, and statements over them.
 
     ``collections`` map names to DataFrames; ``keys`` name their id columns
     (default ``id``); ``edges`` is the edge table of TRAVERSE; ``history`` maps
     names to version tables for AS OF (columns of the collection and ``seq``,
-    ``ts_ms``, ``branch``).  Changes go to an append-only version table.
+    ``ts_ms``, ``branch``).  Changes go to an append-only log of this engine, and
+    every later statement reads a collection with its changes.
     """
 
     def __init__(self, spark: SparkSession, collections: dict[str, DataFrame], keys: dict[str, str] | None = None, edges: DataFrame | None = None, history: dict[str, DataFrame] | None = None):
@@ -37,14 +44,14 @@ class Engine:
         self.branches: list[str] = []
         self.roles: list[str] = []
         self.sequence = 0
-        self.versions: DataFrame | None = None
+        self.log: list[tuple] = []
 
     def sql(self, statement: str, params: Any = None) -> DataFrame:
         return self.run(parse(statement, params))
 
     def run(self, tree: Any) -> DataFrame:
         if isinstance(tree, Query):
-            return self.query(tree, self.collections)
+            return self.query(tree, self.named())
         if isinstance(tree, Explain):
             lines = explain(tree.query).splitlines()
             return self.spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line int, plan string")
@@ -66,6 +73,41 @@ class Engine:
         parts = [self.condition(df, p) for p in c.parts]
         return relational.all_of(*parts) if isinstance(c, Both) else relational.any_of(*parts) if isinstance(c, Either) else parts[0]
 
+    @property
+    def versions(self) -> DataFrame:
+        """All changes: ``cf, key, seq, op, attributes``, one local relation however many there are."""
+        return self.spark.createDataFrame(self.log, "cf string, key string, seq long, op string, attributes map<string,string>")
+
+    def collection(self, name: str, df: DataFrame | None) -> DataFrame:
+        """A collection after its changes.
+
+        Inserts replace the record of their key, deletes remove it, updates overlay
+        the attributes of a record that exists; values take the columns' types, and
+        attributes that no column has are dropped.  A collection made by CREATE has
+        its declared attributes behind ``id``.
+        """
+        if df is None:
+            declared = self.schemas[name].ddl().replace(" NOT NULL", "")
+            df = self.spark.createDataFrame([], ", ".join(filter(None, ("id string", declared))))
+        if not any(cf == name for cf, *_ in self.log):
+            return df
+        key, kinds = self.key(name, df), {f.name: f.dataType for f in df.schema}
+        rows = self.versions.where(F.col("cf") == name)
+        base = F.max(F.when(F.col("op") != "UPDATE", F.col("seq"))).over(Window.partitionBy("key"))
+        rows = rows.withColumn("_base", base).where(F.col("_base").isNull() | (F.col("seq") >= F.col("_base")))
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "attributes"))), lambda x: F.coalesce(x["attributes"], F.create_map().cast("map<string,string>")))
+        overlay = F.aggregate(parts, F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m))
+        changes = rows.groupBy(F.col("key").cast(kinds[key]).alias("_k")).agg(F.min_by("op", "seq").alias("_op"), overlay.alias("_set"))
+        changes = changes.withColumnRenamed("_k", key)
+        new = changes.where(F.col("_op") == "INSERT").select(*[F.col(key) if c == key else F.get(F.map_values(F.map_filter("_set", lambda k, _, c=c: k == c)), F.lit(0)).try_cast(t).alias(c) if _from_text(t) else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+        kept = df.join(changes.where(F.col("_op") != "UPDATE"), key, "left_anti").join(changes.where(F.col("_op") == "UPDATE"), key, "left")
+        value = lambda c, t: F.when(F.map_contains_key("_set", F.lit(c)), F.element_at("_set", F.lit(c)).try_cast(t)).otherwise(F.col(f"`{c}`")).alias(c)
+        return kept.select(*[F.col(f"`{c}`") if c == key or not _from_text(t) else value(c, t) for c, t in kinds.items()]).unionByName(new)
+
+    def named(self) -> dict[str, DataFrame]:
+        """All collections, with their changes."""
+        return {n: self.collection(n, self.collections.get(n)) for n in dict.fromkeys((*self.collections, *self.schemas))}
+
     def query(self, q: Query, known: dict[str, DataFrame]) -> DataFrame:
         known = dict(known)
         for name, inner in q.ctes:
@@ -173,10 +215,8 @@ class Engine:
         """Appends a version row and returns it; attributes are text."""
         self.sequence += 1
         key = m.key or f"{self.sequence:016x}"
-        values = {k: None if v is None else str(v) for k, v in m.values.items()}
-        row = self.spark.createDataFrame([(m.collection, key, self.sequence, m.kind, values)], "cf string, key string, seq long, op string, attributes map<string,string>")
-        self.versions = row if self.versions is None else self.versions.unionByName(row)
-        return row
+        self.log.append((m.collection, key, self.sequence, m.kind, {k: None if v is None else str(v) for k, v in m.values.items()}))
+        return self.spark.createDataFrame(self.log[-1:], "cf string, key string, seq long, op string, attributes map<string,string>")
 
     def current(self, collection: str) -> DataFrame:
         """``key, attributes`` after all changes: an insert replaces, an update overlays, a delete removes."""
@@ -198,6 +238,7 @@ class Engine:
         elif d.kind == "DROP":
             self.schemas.pop(d.name, None)
             self.collections.pop(d.name, None)
+            self.log = [row for row in self.log if row[0] != d.name]
         else:
             if d.name not in self.schemas:
                 raise ValueError(f"no collection {d.name}")

@@ -92,6 +92,23 @@ def _(s, d):
     return e.current("people").select("key", F.explode("attributes").alias("attribute", "value"))
 
 
+@query("m1_m3_select_changed", "SELECT c_custkey, CASE WHEN c_custkey = 2 THEN 'Zed' WHEN c_custkey = 900000001 THEN 'New' ELSE c_name END AS c_name, CASE WHEN c_custkey = 2 THEN -5.5 WHEN c_custkey = 900000001 THEN NULL ELSE c_acctbal END AS c_acctbal FROM (SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT 900000001, 'x', 0) WHERE c_custkey <> 3 AND (c_custkey < 20 OR c_custkey = 900000001)")
+def _(s, d):
+    e = engine(s, d, "customer")
+    e.keys["customer"] = "c_custkey"
+    for line in ("UPDATE customer 2 SET c_name = 'Zed'", "DELETE FROM customer 3", "INSERT INTO customer 900000001 SET c_name = 'Old', c_acctbal = 4", "UPDATE customer 900000002 SET c_name = 'nobody'", "UPDATE customer 2 SET c_acctbal = -5.5", "INSERT INTO customer 900000001 SET c_name = 'New'"):
+        e.sql(line)
+    return e.sql("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 20 OR c_custkey = 900000001")
+
+
+@query("m4_created_collection", "SELECT * FROM (VALUES ('1', 'A', 3), ('2', 'B', NULL)) AS t(id, name, age)")
+def _(s, d):
+    e = engine(s, d)
+    for line in ("CREATE COLLECTION p (name text, age int NULLABLE)", "INSERT INTO p 1 SET name = 'A', age = 2", "INSERT INTO p 2 SET name = 'B'", "INSERT INTO p 3 SET name = 'C'", "UPDATE p 1 SET age = 3", "DELETE FROM p WHERE id = 3"):
+        e.sql(line)
+    return e.sql("SELECT id, name, age FROM p")
+
+
 @query("m6_explain", "SELECT 2 AS steps")
 def _(s, d):
     return engine(s, d, "orders").sql("EXPLAIN SELECT * FROM orders WHERE o_custkey = 1 LIMIT 5").where(F.col("plan").rlike(r"^  \d+\.")).agg(F.count("*").cast("int").alias("steps"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from strataq.operators import events as E
@@ -68,7 +70,7 @@ def _(s, d):
 
 @query("kv6_max_u64", fold("max_u64"))
 def _(s, d):
-    return state(s, d, merge="max_u64")
+    return state(s, d, merge="max_u64").withColumn("value", F.col("value").cast("long"))
 
 
 @query("kv7_append_bytes", f"""
@@ -94,9 +96,36 @@ def _(s, d):
     return kv.conflicts(v, v.where("seq < 2000").select("cf", "key").distinct(), 9900)
 
 
-@query("kv11_batch_rows", f"WITH {V} SELECT seq // 10 AS batch, seq % 10 AS op_index, op FROM v")
+def batch_fold(rows: str) -> str:
+    """The append fold over literal rows (key, seq, op_index, op, value)."""
+    return f"""
+WITH v(key, seq, i, op, value) AS (VALUES {rows}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq, i) AS r FROM v),
+w AS (SELECT *, max(r) FILTER (WHERE op <> 'merge') OVER (PARTITION BY key) AS base FROM o),
+f AS (SELECT key, max(value) FILTER (WHERE op = 'put' AND r = base) AS b, string_agg(value, '' ORDER BY r) FILTER (WHERE op = 'merge' AND (base IS NULL OR r > base)) AS m FROM w GROUP BY key)
+SELECT key, coalesce(b, '') || coalesce(m, '') AS value FROM f WHERE b IS NOT NULL OR m IS NOT NULL"""
+
+
+@query("kv11_write_batch", batch_fold("""
+ ('a', 1, 0, 'put', '9'), ('a', 1, 1, 'put', '1'), ('b', 1, 2, 'put', '5'), ('b', 1, 3, 'delete', NULL), ('c', 1, 4, 'merge', '7'), ('c', 1, 5, 'put', '1'),
+ ('d', 1, 6, 'merge', 'b'), ('d', 1, 7, 'merge', 'a'), ('e', 1, 8, 'delete', NULL), ('e', 1, 9, 'put', '3'), ('d', 2, 0, 'merge', 'z'), ('a', 2, 1, 'merge', '0')"""))
+def _(s, d):
+    one = kv.Batch().put("x", "a", "9").put("x", "a", "1").put("x", "b", "5").delete("x", "b").merge("x", "c", "7").put("x", "c", "1")
+    one.merge("x", "d", "b").merge("x", "d", "a").delete("x", "e").put("x", "e", "3")
+    two = kv.Batch().merge("x", "d", "z").merge("x", "a", "0")
+    return kv.state(one.rows(s, 1).unionByName(two.rows(s, 2))).select("key", "value")
+
+
+@query("kv12_nested_savepoint", batch_fold("('a', 1, 0, 'put', '1'), ('b', 1, 1, 'put', '2'), ('a', 1, 2, 'merge', 'x'), ('a', 1, 3, 'merge', 'y'), ('c', 1, 4, 'delete', NULL)"))
 def _(s, d):
-    return versions(s, d).select(F.floor(F.col("seq") / 10).cast("long").alias("batch"), (F.col("seq") % 10).alias("op_index"), "op")
+    """A child's operations follow its parent's, whenever they came; what a savepoint rolls back never was."""
+    parent = kv.Batch().put("x", "a", "1")
+    child = parent.nested().merge("x", "a", "x")
+    mark = parent.savepoint()
+    parent.delete("x", "a").put("x", "c", "9")
+    parent.rollback_to(mark)
+    parent.put("x", "b", "2")
+    child.merge("x", "a", "y").nested().delete("x", "c")
+    return kv.state(parent.rows(s, 1)).select("key", "value")
 
 
 @query("kv14_compact_leveled", f"WITH {V}, m AS (SELECT *, max(seq) OVER (PARTITION BY cf, key) AS top, max(seq) FILTER (WHERE seq <= 3000) OVER (PARTITION BY cf, key) AS pinned FROM v) SELECT key, seq FROM m WHERE seq = pinned OR (seq = top AND op <> 'delete' AND (expires_at_ms IS NULL OR expires_at_ms > {NOW}))")
@@ -134,9 +163,9 @@ def _(s, d):
     return life(s, d).where(kv.mvcc_visible("create_seq", "delete_seq", 4000)).select("key", "create_seq")
 
 
-@query("pf10_ttl_visible", f"WITH {V} SELECT seq FROM v WHERE expires_at_ms > {NOW}")
+@query("pf10_ttl_visible", f"WITH {V} SELECT seq FROM v WHERE expires_at_ms IS NULL OR expires_at_ms > {NOW}")
 def _(s, d):
-    return versions(s, d).where(F.col("expires_at_ms") > NOW).select("seq")
+    return versions(s, d).where(kv.live("expires_at_ms", NOW)).select("seq")
 
 
 @query("kv16_index_stats", f"WITH {V}, k AS (SELECT cf, key, count(*) AS n, arg_max(op, seq) AS last FROM v GROUP BY cf, key) SELECT cf, count(*) FILTER (WHERE last <> 'delete') AS live_keys, sum(n)::BIGINT AS versions, (sum(n) - count(*) FILTER (WHERE last <> 'delete'))::BIGINT AS stale FROM k GROUP BY cf")
@@ -196,6 +225,18 @@ def _(s, d):
     return E.broken_links(e)
 
 
+@query("st3_tampered", "SELECT * FROM (VALUES (5::BIGINT), (9), (10)) t(sequence)")
+def _(s, d):
+    """A valid chain of twelve events, but for a payload changed afterwards (5) and an event put anew in place of 9, to which 10 does not link."""
+    rows, before = [], E.GENESIS
+    for i in range(1, 13):
+        said = ":".join((str(i), before if i != 9 else "f" * 64, str(1000 * i), "Update", "users", f"payload {i}"))
+        mine = hashlib.sha256(said.encode()).hexdigest()
+        rows.append((i, before if i != 9 else "f" * 64, 1000 * i, "Update", "users", "forged" if i == 5 else f"payload {i}", mine))
+        before = mine if i != 9 else "e" * 64
+    return E.broken_links(s.createDataFrame(rows, "sequence long, previous_hash string, timestamp_ms long, kind string, collection string, payload string, hash string"))
+
+
 @query("st3_link_hash", f"SELECT event_id AS sequence, sha256(concat_ws(':', event_id, repeat('0', 64), (epoch_us(ts) // 1000), {KINDS}, 'users', substr(props, 1, 32))) AS hash FROM events")
 def _(s, d):
     return log(s, d).select("sequence", E.link(F.lit(E.GENESIS)).alias("hash"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataq.functions import scalar
 from strataq.operators import relational as R
 from strataq.queries.registry import query
-from strataq.session import table
+from strataq.session import shared_dir, table
+from strataq.sources import files
 
 
 def orders(s, d):
@@ -52,9 +55,14 @@ def _(s, d):
     return table(s, d, "customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
 
 
-@query("sc15_digest", "SELECT count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS total FROM orders")
+@query("sc15_backup_restore", "SELECT count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS total, TRUE AS same, FALSE AS same_without_one FROM orders")
 def _(s, d):
-    return orders(s, d).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+    """A backup restored, digested against its source, and against the source less one row."""
+    path = f"{shared_dir(s)}/backup-{uuid.uuid4().hex}"
+    files.backup(orders(s, d), path)
+    back = files.restore(s, path)
+    same, other = files.verify(back, orders(s, d)), files.verify(back, orders(s, d).orderBy("o_orderkey").offset(1))
+    return back.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total")).select("n", "total", F.lit(same).alias("same"), F.lit(other).alias("same_without_one"))
 
 
 @query("pf1_projection", "SELECT c_custkey, c_name FROM customer")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from strataq.functions import boxes as B
 from strataq.operators import geo, timeseries
 from strataq.queries.registry import query
-from strataq.session import table
+from strataq.session import shared_dir, table
 from strataq.streaming import watch
 
 BOXES = "b AS (SELECT p_partkey AS id, p_size::DOUBLE AS min_x, p_retailprice AS min_y, p_size + (p_partkey % 5)::DOUBLE AS max_x, p_retailprice + (p_partkey % 11)::DOUBLE AS max_y FROM part)"
@@ -91,9 +90,7 @@ def _(s, d):
 
 
 def _folders(s):
-    sc = s.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="strataq-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(s, d):

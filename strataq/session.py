@@ -27,9 +27,20 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the folder set for checkpoints; on one machine, where neither is set, a temporary one."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found and not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    if not (found or sc.getCheckpointDir()):
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataq-"))
+    return (found or sc.getCheckpointDir()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder (``spark.checkpoint.dir``; a temporary one only where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataq-"))
+    """``df`` checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

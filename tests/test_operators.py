@@ -1,5 +1,7 @@
 """Small cases with known answers."""
 
+import re
+
 import pytest
 
 from strataq.functions import scalar
@@ -186,3 +188,26 @@ def test_engine_changes(spark):
     e.sql("INSERT INTO p 2 SET name = 'B'")
     e.sql("DELETE FROM p WHERE id = 2")
     assert [(r.key, r.attributes) for r in e.current("p").collect()] == [("1", {"name": "A", "age": "3"})]
+
+
+def test_filters_reach_the_scan(spark):
+    """Comparisons, whole trees and retention show in the scan's pushed filters."""
+    from strataq.queries import QUERIES
+
+    for name, columns in (("pf2_filter", ("l_quantity", "l_returnflag")), ("pf3_filter_tree", ("o_",)), ("sc3_scalar_filter", ("o_orderstatus",)), ("pql_select", ("o_",)), ("t5_retention", ("ts",)), ("t5_drop_before", ("ts",))):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        pushed = " ".join(re.findall(r"PushedFilters: \[(.*), ReadSchema", plan))  # long lists end in dots
+        assert re.search(r"GreaterThan|LessThan|EqualTo", pushed) and all(c in pushed for c in columns), (name, pushed)
+
+
+def test_predicate_literals(spark):
+    a = spark.sql("SELECT * FROM VALUES (1, 1.5D, 2.50BD, 'x'), (2, 2.5D, 3.25BD, 'y'), (NULL, NULL, NULL, NULL) t(i, f, d, s)")
+    count = lambda *x: a.where(R.predicate(a, *x)).count()
+    for op, value, n in (("<", "1.5", 1), ("<=", 1.5, 1), (">", "1.5", 1), (">=", "1.5", 1), ("=", "1.5", 0), ("!=", "1.5", 2), ("<", 2, 1), ("=", "2", 1), (">=", "1e30", 0), ("<", "1e30", 2), ("=", "nan", 0)):
+        assert count("i", op, value) == n, (op, value)
+    assert count("f", ">", "1.5") == 1 and count("d", "=", "2.5") == 1 and count("d", "<", "2.555") == 1 and count("s", "=", "x") == 1 and count("i", "like", 1) == 0
+
+
+def test_max_u64_beyond_signed(spark):
+    v = spark.createDataFrame([("d", "k", 1, "merge", str((1 << 64) - 2), None), ("d", "k", 2, "merge", "5", None)], "cf string, key string, seq long, op string, value string, expires_at_ms long")
+    assert int(kv.state(v, merge="max_u64").first().value) == (1 << 64) - 2
