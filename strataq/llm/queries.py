@@ -83,4 +83,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: the lower-cased words of a text
+WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+k AS (SELECT DISTINCT item, least(len(w), 8) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 8) + 2), lambda i: array_to_string(list_slice(w, i, i + least(len(w), 8) - 1), ' '))) AS win FROM b WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM k),
+x AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, ns WHERE len(w) >= n),
+h AS (SELECT x.doc_id, x.pos, x.n, k.item FROM x JOIN k ON k.n = x.n AND k.win = array_to_string(list_slice(x.w, x.pos, x.pos + x.n - 1), ' ')),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(h.pos, h.pos + h.n)) AS p FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, coalesce(i.n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op5_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+ FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+}

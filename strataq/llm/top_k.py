@@ -75,20 +75,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     asked = written(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), queries.alias("asked")).where("asked").drop("asked"), "queries")
     count = asked.count()
     waves = -(-count // wave)
-    # waves by equal stretches of the queries' rows
-    edges = asked.approxQuantile("row", [i / waves for i in range(1, waves)], 0.0) if waves > 1 else []
-    found = []
-    for i in range(max(1, waves)):
-        part = asked
-        if i:
-            part = part.where(F.col("row") > edges[i - 1])
-        if i < len(edges):
-            part = part.where(F.col("row") <= edges[i])
-        found.append(_wave(spark, chosen, part, k, scale))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _wave(spark, chosen: DataFrame, part: DataFrame, k: int, scale: float) -> DataFrame:
+
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 0.0
+        for b in batches:
+            for _, _, c in _whole(b, scale):
+                most = max([most, *np.sqrt((c * c).sum(1)).tolist()])
+        yield pa.RecordBatch.from_pydict({"norm": [most]})
+
+    norm = chosen.mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 0.0
+    # a hash of the row deals queries to waves of about equal size
+    parts = [asked.where(F.pmod(F.xxhash64("row"), F.lit(waves)) == i) for i in range(waves)] if waves > 1 else [asked]
+    return reduce(DataFrame.unionByName, [_wave(spark, chosen, part, k, scale, norm) for part in parts])
+
+
+def _wave(spark, chosen: DataFrame, part: DataFrame, k: int, scale: float, norm: float) -> DataFrame:
     pulled = part.toArrow()
     q_ids, by_dim, bounds = [], {}, []
     for b in pulled.to_batches():
@@ -102,14 +103,6 @@ def _wave(spark, chosen: DataFrame, part: DataFrame, k: int, scale: float) -> Da
     wave = {d: tuple(map(np.concatenate, x)) for d, x in by_dim.items()}
     shipped = spark.sparkContext.broadcast((wave, np.array(q_ids, np.int64)))
 
-    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = 0.0
-        for b in batches:
-            for _, _, c in _whole(b, scale):
-                most = max([most, *np.sqrt((c * c).sum(1)).tolist()])
-        yield pa.RecordBatch.from_pydict({"norm": [most]})
-
-    norm = chosen.mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 0.0
     # |score| is at most the product of the norms
     high = np.array([min(float(_MOST), b * norm * (1 + 1e-9) + 1) for b in bounds])
     low, width = -high.astype(object), np.array([max(1, -(-2 * int(h) // BINS) + 1) for h in high], object)

@@ -456,3 +456,18 @@ def test_pipeline_on_odd_tables(spark):
             docs = spark.createDataFrame(rows, docs.schema)
         else:
             assert {r.doc_id for r in now.collect()} == {d for d, _ in want[2]}
+
+
+@pytest.mark.parametrize("name", ["op4_decontamination", "op5_top_k"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from strataq.llm.queries import ORACLE_SQL, QUERIES
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = [tuple(r[c] for c in columns) for r in QUERIES[name](spark, sf).collect()]
+    assert Counter(got) == Counter(want.fetchall()) and got
