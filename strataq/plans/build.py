@@ -95,11 +95,11 @@ class Engine:
         rows = self.versions.where(F.col("cf") == name)
         base = F.max(F.when(F.col("op") != "UPDATE", F.col("seq"))).over(Window.partitionBy("key"))
         rows = rows.withColumn("_base", base).where(F.col("_base").isNull() | (F.col("seq") >= F.col("_base")))
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "attributes"))), lambda x: F.coalesce(x["attributes"], F.create_map().cast("map<string,string>")))
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.map_entries("attributes").alias("set")))), lambda x: F.coalesce(F.map_from_entries(x["set"]), F.create_map().cast("map<string,string>")))
         overlay = F.aggregate(parts, F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m))
         changes = rows.groupBy(F.col("key").cast(kinds[key]).alias("_k")).agg(F.min_by("op", "seq").alias("_op"), overlay.alias("_set"))
         changes = changes.withColumnRenamed("_k", key)
-        new = changes.where(F.col("_op") == "INSERT").select(*[F.col(key) if c == key else F.get(F.map_values(F.map_filter("_set", lambda k, _, c=c: k == c)), F.lit(0)).try_cast(t).alias(c) if _from_text(t) else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+        new = changes.where(F.col("_op") == "INSERT").select(*[F.col(key) if c == key else F.try_element_at("_set", F.lit(c)).try_cast(t).alias(c) if _from_text(t) else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
         kept = df.join(changes.where(F.col("_op") != "UPDATE"), key, "left_anti").join(changes.where(F.col("_op") == "UPDATE"), key, "left")
         value = lambda c, t: F.when(F.map_contains_key("_set", F.lit(c)), F.element_at("_set", F.lit(c)).try_cast(t)).otherwise(F.col(f"`{c}`")).alias(c)
         return kept.select(*[F.col(f"`{c}`") if c == key or not _from_text(t) else value(c, t) for c, t in kinds.items()]).unionByName(new)
