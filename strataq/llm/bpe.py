@@ -45,9 +45,11 @@ class BpeEncoder:
     string of a special token in a text is that token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
+        self._entries = entries
+
         self._tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -129,19 +131,19 @@ class BpeEncoder:
             self._learn(list(new))
         for i, head, parts in todo:
             out[i] = self._whole(head) + b"".join(map(known.__getitem__, parts))
-        if len(known) > CACHE_ENTRIES:
+        if len(known) > self._entries:
             self._old, self._chunks = known, {}
         return out
 
 
-def encoder(path: str) -> BpeEncoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> BpeEncoder:
     """One encoder a worker process and file."""
-    return worker_cache(("bpe", path), lambda: BpeEncoder(path))
+    return worker_cache(("bpe", path, entries), lambda: BpeEncoder(path, entries))
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, entries: int = CACHE_ENTRIES) -> Iterator[tuple]:
     """(key, ids) of each row of batches of keys and texts; null texts count as empty."""
-    enc, keys, texts, size = encoder(path), [], [], 0
+    enc, keys, texts, size = encoder(path, entries), [], [], 0
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1)):
             keys.append(key)

@@ -23,6 +23,8 @@ from strataq.llm.common import scratch_dir
 
 #: ids after which a segment ends (a longer document has a segment of its own)
 SEGMENT_IDS = 1 << 20
+#: chunks that a worker's encoder keeps in each generation
+CACHE_ENTRIES = 450_000
 
 
 def write_tokens(
@@ -57,7 +59,7 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema)], schema=schema)
 
         held = 0
-        for doc, ids in encoded(batches, tok):
+        for doc, ids in encoded(batches, tok, CACHE_ENTRIES):
             keys.append(doc)
             parts.append(ids + end)
             sizes.append(len(parts[-1]) // 4)
