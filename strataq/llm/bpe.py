@@ -30,6 +30,8 @@ CACHE_ENTRIES = 300_000
 #: texts, and characters about, that are encoded together; new chunks in one call of the library; words whose ids are gathered at once
 TEXTS, CHARS, JOINED, GATHERED = 2048, 1 << 22, 1000, 1 << 18
 
+#: characters that make one word wherever they stand together (an apostrophe may open a contraction)
+_MARKS = ".,;:!?#$%&*"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -70,7 +72,7 @@ class BpeEncoder:
         self._opens = np.zeros(1 + max([*vocab.values(), *(a["id"] for a in added)], default=0) if self._plain else 1, bool)
         if self._plain:
             self._opens[[i for t, i in vocab.items() if t[0] == chr(288)]] = True
-        self._marks = {m: self._whole(m) for m in ".,;:!?"} if self._plain else {}
+        self._tails: dict[str, bytes] = {}  # of marks behind letters
         self._chunks: dict[str, bytes] = {}  # of what stands between two single spaces
         self._old: dict[str, bytes] = {}
 
@@ -81,18 +83,34 @@ class BpeEncoder:
         return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks, each behind a space, into the cache."""
-        old, known, marks, fresh = self._old, self._chunks, self._marks, []
+        """Ids of new chunks, each behind a space, into the cache.
+
+        Letters and marks behind them are two words, so that the letters are looked up alone.
+        """
+        old, known, tails, fresh, built = self._old, self._chunks, self._tails, [], []
         for c in chunks:
             ids = old.get(c)
             if ids is not None:
                 known[c] = ids
-            elif c[-1] in marks and (ids := known.get(c[:-1])) is not None and c[:-1].isalpha():
-                known[c] = ids + marks[c[-1]]  # letters and one mark are two words
+            elif c.isalpha():
+                fresh.append(c)
+            elif (base := c.rstrip(_MARKS)).isalpha():
+                tail = c[len(base) :]
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self._whole(tail)
+                ids = known.get(base) or old.get(base)
+                if ids is not None:
+                    known[c] = ids + tails[tail]
+                else:
+                    fresh.append(base)
+                    built.append((c, base, tails[tail]))
             elif " " in c:
                 known[c] = self._whole(" " + c)
             else:
                 fresh.append(c)
+        fresh = list(dict.fromkeys(fresh)) if built else fresh
         blocks = [fresh[i : i + JOINED] for i in range(0, len(fresh), JOINED)]
         for block, got in zip(blocks, self._tok.encode_batch_fast([" " + " ".join(b) for b in blocks], add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
@@ -101,6 +119,8 @@ class BpeEncoder:
                 raise RuntimeError("the library's ids do not open where the chunks do")
             data = ids.tobytes()
             known.update(zip(block, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
+        for c, base, tail in built:
+            known[c] = known[base] + tail
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids by text; an empty text has none.
