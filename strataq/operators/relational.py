@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from strataq.functions.scalar import literal
 
+def _never() -> Column:
+    """A condition that is null: neither it nor its negation lets a row through."""
+    return F.lit(None).cast("boolean")
+
+
 _OPS = {
     "=": lambda c, v: c == v, "==": lambda c, v: c == v, "!=": lambda c, v: c != v, "<>": lambda c, v: c != v,
     ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
@@ -24,20 +29,22 @@ def predicate(df: DataFrame, attribute: str, operator: str, value=None) -> Colum
     reaches the scan; of a missing value the result is null, which a filter drops.
     """
     if attribute not in df.columns:
-        return F.lit(False)
+        return _never()
     c = F.col(attribute)
     if operator in ("is_null", "is_not_null"):
         return c.isNull() if operator == "is_null" else c.isNotNull()
-    if operator not in _OPS:
-        return F.lit(False)
     kind = df.schema[attribute].dataType.simpleString()
+    if operator == "like" and kind == "string":
+        return c.like(value)
+    if operator not in _OPS:
+        return _never()
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
         try:
             value = Decimal(str(value))
         except InvalidOperation:
-            return F.lit(False)
+            return _never()
         if not value.is_finite():
-            return F.lit(False)
+            return _never()
         whole = value == value.to_integral_value()
         if kind.endswith("int"):
             if abs(value) >= 1 << 62 or not whole and operator in ("=", "==", "!=", "<>"):
@@ -51,15 +58,23 @@ def predicate(df: DataFrame, attribute: str, operator: str, value=None) -> Colum
     return _OPS[operator](c, F.lit(value).try_cast(kind))
 
 
-def nest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str) -> DataFrame:
+def nest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str, how: str = "inner") -> DataFrame:
     """Left rows with a match, each with the array of its matches, in value order.
 
     The right side is grouped on its key before the join, so a left row is never
-    multiplied; rows without a key or a match are dropped.
+    multiplied; rows without a key or a match are dropped.  With ``how`` "left" they
+    stay, their array null; "right" and "full" also keep each array that no left row
+    has, the left columns null; "semi" and "anti" return the left rows with and
+    without a match as they are.
     """
+    if how in ("semi", "anti"):
+        keys = right.select(F.col(right_key).alias("_k"))
+        return left.join(keys, left[left_key] == keys["_k"], f"left_{how}")
     rest = [c for c in right.columns if c != right_key]
-    lists = right.where(F.col(right_key).isNotNull()).groupBy(F.col(right_key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(*([right_key] + rest)))).alias(name))
-    return left.join(lists, left[left_key] == lists["_k"], "inner").drop("_k")
+    if how in ("inner", "left"):
+        right = right.where(F.col(right_key).isNotNull())
+    lists = right.groupBy(F.col(right_key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(*([right_key] + rest)))).alias(name))
+    return left.join(lists, left[left_key] == lists["_k"], how).drop("_k")
 
 
 def distinct_by_id(df: DataFrame, key: str) -> DataFrame:
@@ -70,9 +85,18 @@ def intersect_by_id(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_semi")
 
 
-def aggregate(name: str, column: str = "*") -> Column:
-    """COUNT, SUM (0 if empty), AVG, MIN, MAX of numeric values; other names raise."""
+def aggregate(name: str, column: str = "*", distinct: bool = False) -> Column:
+    """COUNT, SUM (0 if empty), AVG, MIN, MAX of numeric values, and APPROX_COUNT_DISTINCT; other names raise.
+
+    With ``distinct``, COUNT and SUM take each value once (MIN and MAX are the same); AVG raises.
+    """
     x = None if column == "*" else F.col(column).try_cast("double")
+    if distinct and name.lower() in ("count", "sum"):
+        return F.count_distinct(F.col(column)) if name.lower() == "count" else F.coalesce(F.sum_distinct(x), F.lit(0.0))
+    if distinct and name.lower() == "avg":
+        raise ValueError("AVG takes no DISTINCT")
+    if name.lower() == "approx_count_distinct":
+        return F.approx_count_distinct(column)
     found = {"count": lambda: F.count(F.lit(1)) if x is None else F.count(F.col(column)), "sum": lambda: F.coalesce(F.sum(x), F.lit(0.0)), "avg": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x)}
     if name.lower() not in found:
         raise ValueError(f"no aggregate {name}")

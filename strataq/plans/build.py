@@ -14,12 +14,17 @@ from strataq.functions.vectors import cosine
 from strataq.operators import catalog, graph, kv, relational, text, vector
 from strataq.plans.cost import explain
 from strataq.plans.parser import parse
-from strataq.plans.tree import Both, Definition, Either, Explain, Item, Mutation, Query, Show, Test
+from strataq.plans.tree import Both, Definition, Either, Explain, Item, Mutation, Neither, Query, Show, Test
 
 _WINDOWED = {
-    "row_number": lambda a: F.row_number(), "rank": lambda a: F.rank(), "dense_rank": lambda a: F.dense_rank(), "lag": F.lag, "lead": F.lead,
+    "row_number": lambda a: F.row_number(), "rank": lambda a: F.rank(), "dense_rank": lambda a: F.dense_rank(), "lag": F.lag, "lead": F.lead, "ntile": lambda a: F.ntile(int(a)), "percent_rank": lambda a: F.percent_rank(), "cume_dist": lambda a: F.cume_dist(), "nth_value": F.nth_value,
     "first_value": F.first, "last_value": F.last, "sum": F.sum, "count": lambda a: F.count(F.lit(1) if a in ("*", "") else a), "avg": F.avg, "min": F.min, "max": F.max,
 }
+_AGGREGATES = ("count", "sum", "avg", "min", "max", "approx_count_distinct")
+
+
+def _aggregated(i: Item) -> bool:
+    return i.function in _AGGREGATES and not i.over
 
 
 def _from_text(kind) -> bool:
@@ -71,6 +76,8 @@ class Engine:
         if isinstance(c, Test):
             return relational.predicate(df, c.attribute.split(".")[-1], c.operator, c.value)
         parts = [self.condition(df, p) for p in c.parts]
+        if isinstance(c, Neither):
+            return ~parts[0]
         return relational.all_of(*parts) if isinstance(c, Both) else relational.any_of(*parts) if isinstance(c, Either) else parts[0]
 
     @property
@@ -111,7 +118,42 @@ class Engine:
     def query(self, q: Query, known: dict[str, DataFrame]) -> DataFrame:
         known = dict(known)
         for name, inner in q.ctes:
-            known[name] = self.query(inner, known)
+            known[name] = self.fixpoint(name, inner, known) if q.recursive and inner.combined else self.query(inner, known)
+        df = self.single(q, known)
+        for operation, every, other in q.combined:
+            right = self.single(other, known).toDF(*df.columns)
+            if operation == "UNION":
+                df = df.union(right) if every else df.union(right).distinct()
+            elif operation == "INTERSECT":
+                df = df.intersectAll(right) if every else df.intersect(right)
+            else:
+                df = df.exceptAll(right) if every else df.subtract(right)
+        return df
+
+    def fixpoint(self, name: str, q: Query, known: dict[str, DataFrame]) -> DataFrame:
+        """``base UNION [ALL] step`` where the step reads the rows of the round before.
+
+        Without ALL only rows not met before go on, so that cycles end; with ALL the
+        rounds end when one gives no rows.  There is no bound of rounds.  Each round is
+        checkpointed, and so are the rows of all rounds at every doubling, which keeps
+        the plan short.
+        """
+        if any(operation != "UNION" for operation, _, _ in q.combined):
+            raise ValueError("a recursive query is a UNION")
+        every = all(a for _, a, _ in q.combined)
+        unfold = lambda df: df if every else df.distinct()
+        new = unfold(self.single(q, known)).checkpoint()
+        found, rounds = new, 0
+        while not new.isEmpty():
+            steps = [self.single(other, known | {name: new}).toDF(*found.columns) for _, _, other in q.combined]
+            new = reduce(DataFrame.union, steps)
+            new = (new if every else new.subtract(found)).checkpoint()
+            found, rounds = found.union(new), rounds + 1
+            if rounds & (rounds - 1) == 0 or rounds % 16 == 0:
+                found = found.checkpoint()
+        return found
+
+    def single(self, q: Query, known: dict[str, DataFrame]) -> DataFrame:
         if q.collection is None:
             df = self.spark.range(1).select()
             key = None
@@ -133,10 +175,10 @@ class Engine:
         if q.traverse:
             start, hops, label = q.traverse
             df = graph.reachable(df, self.edges, start, hops, label, key)
-        for other, left, right in q.joins:
-            df = relational.nest_join(df, known[other], left, right, f"join.{other}")
+        for other, left, right, how in q.joins:
+            df = relational.nest_join(df, known[other], left, right, f"join.{other}", how)
         df = self.rank(df, q, key)
-        grouped = bool(q.group_by) or any(i.function and not i.over for i in q.items)
+        grouped = bool(q.group_by) or any(_aggregated(i) for i in q.items)
         if q.order_by and not grouped:
             name, down = q.order_by
             df = relational.sort_by(df, name.split(".")[-1], key, down)
@@ -191,8 +233,8 @@ class Engine:
             if i.attribute not in q.group_by:
                 raise ValueError(f"{i.attribute} is neither grouped nor aggregated")
         name = lambda i: i.alias or f"{i.function}_{i.attribute}".replace("*", "all")
-        columns = [relational.aggregate(i.function, i.attribute or "*").alias(name(i)) for i in aggregates]
-        out = df.groupBy(*q.group_by).agg(*columns) if q.group_by else df.agg(*columns)
+        columns = [relational.aggregate(i.function, i.attribute or "*", i.distinct).alias(name(i)) for i in aggregates]
+        out = getattr(df, q.grouping)(*q.group_by).agg(*columns) if q.group_by else df.agg(*columns)
         if q.having is not None:
             out = out.where(self.condition(out, q.having))
         return out.select(*[F.col(i.attribute).alias(i.alias or i.attribute) if not i.function else F.col(name(i)) for i in q.items])
@@ -204,12 +246,22 @@ class Engine:
             w = Window.partitionBy(*i.partition_by)
             if i.order_by:
                 w = w.orderBy(*[F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_first() for n, d in i.order_by])
+            if i.frame:
+                unit, first, last = i.frame
+                w = getattr(w, f"{unit.lower()}Between")(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
             if i.function not in _WINDOWED:
                 raise ValueError(f"no window function {i.function}")
-            return [_WINDOWED[i.function](i.attribute).over(w).alias(i.alias or i.function)]
+            return [_WINDOWED[i.function](i.attribute, *i.arguments).over(w).alias(i.alias or i.function)]
+        if i.function:  # any function of the session, its own or a registered one
+            inner = [F.col(f"`{i.attribute}`")] if i.attribute else []
+            return [F.call_function(i.function, *inner, *map(F.lit, i.arguments)).alias(i.alias or f"{i.function}_{i.attribute}")]
         name = i.attribute if i.attribute in df.columns else i.attribute.split(".")[-1]
         return [F.col(f"`{name}`").alias(i.alias or name)]
 
+    def register(self, name: str, function: Any, kind: str | None = None) -> None:
+        """Makes a function known to statements: a Pandas UDF, or plain Python with the type it returns."""
+        self.spark.udf.register(name, function, *([] if kind is None else [kind]))
+
     # changes ------------------------------------------------------------
     def change(self, m: Mutation) -> DataFrame:
         """Appends a version row and returns it; attributes are text."""

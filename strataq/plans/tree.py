@@ -23,9 +23,20 @@ class Either:
     parts: tuple
 
 
+@dataclass(frozen=True)
+class Neither:
+    """NOT of its one part."""
+
+    parts: tuple
+
+
 @dataclass(frozen=True)
 class Item:
-    """A select item: an attribute, ``*``, an aggregate or a window function."""
+    """A select item: an attribute, ``*``, an aggregate, a scalar or a window function.
+
+    ``arguments`` are the literals behind the attribute; ``frame`` is (ROWS or RANGE,
+    first, last), with None for an unbounded side.
+    """
 
     attribute: str
     function: str | None = None
@@ -33,6 +44,9 @@ class Item:
     partition_by: tuple[str, ...] = ()
     order_by: tuple[tuple[str, bool], ...] = ()
     over: bool = False
+    arguments: tuple = ()
+    distinct: bool = False
+    frame: tuple | None = None
 
 
 @dataclass(frozen=True)
@@ -41,13 +55,14 @@ class Query:
     collection: str | None = None
     items: tuple[Item, ...] = ()
     distinct: bool = False
-    joins: tuple[tuple[str, str, str], ...] = ()
+    joins: tuple[tuple[str, str, str, str], ...] = ()  # collection, left and right attribute, kind
     where: Any = None
     match: tuple[str, str, int | None] | None = None
     similar: tuple[str, int, float | None] | None = None
     traverse: tuple[str, int, str | None] | None = None
     rank_by: str | None = None
     group_by: tuple[str, ...] = ()
+    grouping: str = "groupBy"  # groupBy, rollup, cube
     having: Any = None
     order_by: tuple[str, bool] | None = None
     as_of: tuple[str, str] | None = None
@@ -55,6 +70,7 @@ class Query:
     offset: int | None = None
     ctes: tuple[tuple[str, Any], ...] = ()
     recursive: bool = False
+    combined: tuple[tuple[str, bool, Any], ...] = ()  # UNION, INTERSECT or EXCEPT, whether ALL, query
 
 
 @dataclass(frozen=True)

@@ -47,6 +47,56 @@ def _(s, d):
     return engine(s, d, "customer", "orders").sql("SELECT c_custkey FROM customer JOIN orders ON customer.c_custkey = orders.o_custkey WHERE c_acctbal > 5000")
 
 
+@query("pql_like_in_between", "SELECT o_orderkey FROM orders WHERE (o_orderpriority LIKE '%URGENT' OR o_orderstatus IN ('F', 'P')) AND o_totalprice BETWEEN 1000 AND 90000 AND NOT (o_custkey < 50 OR o_orderpriority LIKE '5%') AND o_custkey NOT IN (60, 61)")
+def _(s, d):
+    return engine(s, d, "orders").sql("SELECT o_orderkey FROM orders WHERE (o_orderpriority LIKE '%URGENT' OR o_orderstatus IN ('F', 'P')) AND o_totalprice BETWEEN 1000 AND 90000 AND NOT (o_custkey < 50 OR o_orderpriority LIKE '5%') AND o_custkey NOT IN (60, 61)")
+
+
+@query("pql_left_join", "SELECT c_custkey, coalesce(n, 0)::BIGINT AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def _(s, d):
+    out = engine(s, d, "customer", "orders").sql("SELECT * FROM customer LEFT JOIN orders ON customer.c_custkey = orders.o_custkey")
+    return out.select("c_custkey", F.coalesce(F.size("`join.orders`"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0).cast("long")))
+
+
+@query("pql_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def _(s, d):
+    return engine(s, d, "customer", "orders").sql("WITH big AS (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) SELECT c_custkey FROM customer LEFT ANTI JOIN big ON customer.c_custkey = big.o_custkey")
+
+
+@query("pql_full_join", "SELECT n_nationkey, s_nationkey, coalesce(k, 0)::BIGINT AS k FROM (SELECT n_nationkey FROM nation WHERE n_nationkey < 12) FULL JOIN (SELECT s_nationkey, count(*) AS k FROM supplier WHERE s_nationkey > 5 GROUP BY s_nationkey) ON n_nationkey = s_nationkey")
+def _(s, d):
+    out = engine(s, d, "nation", "supplier").sql("WITH n AS (SELECT n_nationkey FROM nation WHERE n_nationkey < 12), s AS (SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey > 5) SELECT * FROM n FULL JOIN s ON n.n_nationkey = s.s_nationkey")
+    many = F.col("`join.s`")
+    return out.select("n_nationkey", many[0]["s_nationkey"].alias("s_nationkey"), F.when(many.isNull(), 0).otherwise(F.size(many)).cast("long").alias("k"))
+
+
+@query("pql_set_operations", "(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
+def _(s, d):
+    return engine(s, d, "customer", "supplier", "nation").sql("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
+
+
+@query("pql_with_recursive", f"WITH RECURSIVE {graphs.EDGES}, r(id) AS (SELECT dst FROM e WHERE src = 1 UNION SELECT e.dst FROM e JOIN r ON e.src = r.id) SELECT id FROM r")
+def _(s, d):
+    e = Engine(s, {"e": graphs.edges(s, d).select("src", "dst")}, {"e": "src"})
+    return e.sql("WITH RECURSIVE r AS (SELECT dst AS id FROM e WHERE src = 1 UNION SELECT dst FROM e SEMI JOIN r ON e.src = r.id) SELECT id FROM r")
+
+
+@query("pql_frames", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS near, lag(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS n FROM orders")
+def _(s, d):
+    out = engine(s, d, "orders").sql("SELECT o_orderkey, SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near, LAG(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS n FROM orders")
+    return out.withColumn("near", F.round("near", 2))
+
+
+@query("pql_rollup", "SELECT o_orderstatus, o_orderpriority, count(DISTINCT o_custkey) AS who, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def _(s, d):
+    return engine(s, d, "orders").sql("SELECT o_orderstatus, o_orderpriority, COUNT(DISTINCT o_custkey) AS who, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+
+
+@query("pql_functions", "SELECT c_custkey, upper(c_name) AS name, substring(c_name, 1, 4) AS head, abs(c_acctbal) AS size FROM customer")
+def _(s, d):
+    return engine(s, d, "customer").sql("SELECT c_custkey, UPPER(c_name) AS name, SUBSTRING(c_name, 1, 4) AS head, ABS(c_acctbal) AS size FROM customer")
+
+
 @query("pql_find_match", "SELECT doc_id FROM documents WHERE lang = 'en' AND instr(lower(text), 'all rights reserved') > 0 ORDER BY doc_id LIMIT 15")
 def _(s, d):
     return engine(s, d, "documents").sql("FIND documents WHERE lang = 'en' MATCH text 'All Rights Reserved' TOP 15").select("doc_id")

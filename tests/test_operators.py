@@ -211,3 +211,21 @@ def test_predicate_literals(spark):
 def test_max_u64_beyond_signed(spark):
     v = spark.createDataFrame([("d", "k", 1, "merge", str((1 << 64) - 2), None), ("d", "k", 2, "merge", "5", None)], "cf string, key string, seq long, op string, value string, expires_at_ms long")
     assert int(kv.state(v, merge="max_u64").first().value) == (1 << 64) - 2
+
+
+def test_statements_beyond_the_basics(spark):
+    rows = spark.createDataFrame([(1, "a%b", 2), (2, "axb", 3), (3, None, 3), (4, "b", None)], "id int, t string, n int")
+    e = Engine(spark, {"r": rows, "chain": spark.range(1, 40).selectExpr("id AS src", "CASE WHEN id = 39 THEN 1 ELSE id + 1 END AS dst")}, {"chain": "src"})
+    ids = lambda q: sorted(r.id for r in e.sql(q).collect())
+    assert ids("SELECT id FROM r WHERE t LIKE 'a%b'") == [1, 2]
+    assert ids("SELECT id FROM r WHERE t NOT LIKE 'a%b'") == [4]  # a missing value is on neither side
+    assert ids("SELECT id FROM r WHERE NOT nowhere = 1") == []
+    assert ids("SELECT id FROM r WHERE n IN (2, 5) OR n BETWEEN 3 AND 3") == [1, 2, 3]
+    assert ids("SELECT id FROM r UNION ALL SELECT id FROM r WHERE id = 1 EXCEPT ALL SELECT id FROM r WHERE id > 2") == [1, 1, 2]
+    assert ids("SELECT id FROM r INTERSECT SELECT n FROM r") == [2, 3]
+    assert ids("WITH RECURSIVE w AS (SELECT dst AS id FROM chain WHERE src = 5 UNION SELECT dst FROM chain SEMI JOIN w ON chain.src = w.id) SELECT id FROM w") == list(range(1, 40))
+    e.register("twice", lambda x: None if x is None else 2 * x, "int")
+    assert sorted(r.m for r in e.sql("SELECT twice(id) AS m FROM r").collect()) == [2, 4, 6, 8]
+    for bad in ("SELECT id FROM r WHERE id IN ()", "SELECT id FROM r WHERE id BETWEEN 1", "SELECT id FROM r UNION", "SELECT AVG(DISTINCT n) AS a FROM r"):
+        with pytest.raises(ValueError):
+            e.sql(bad)
