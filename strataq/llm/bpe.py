@@ -28,7 +28,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: what is asked for again moves to the new one, the rest goes with the next change
 CACHE_ENTRIES = 300_000
 #: texts, and characters about, that are encoded together; new chunks in one call of the library; words whose ids are gathered at once
-TEXTS, CHARS, JOINED, GATHERED = 2048, 1 << 22, 1000, 1 << 18
+TEXTS, CHARS, JOINED, GATHERED = 1024, 1 << 21, 1000, 1 << 18
 
 #: characters that make one word wherever they stand together (an apostrophe may open a contraction)
 _MARKS = ".,;:!?#$%&*"
