@@ -88,11 +88,12 @@ class BpeEncoder:
         Letters and marks behind them are two words, so that the letters are looked up alone.
         """
         old, known, tails, fresh, built = self._old, self._chunks, self._tails, [], []
+        if old:
+            before = list(map(old.get, chunks))
+            known.update((c, ids) for c, ids in zip(chunks, before) if ids is not None)
+            chunks = [c for c, ids in zip(chunks, before) if ids is None]
         for c in chunks:
-            ids = old.get(c)
-            if ids is not None:
-                known[c] = ids
-            elif c.isalpha():
+            if c.isalpha():
                 fresh.append(c)
             elif (base := c.rstrip(_MARKS)).isalpha():
                 tail = c[len(base) :]

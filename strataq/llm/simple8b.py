@@ -48,24 +48,27 @@ def encode(ids: np.ndarray, block: int = 512) -> bytes:
     flat[:n] = ids
     grid[:, :block] = flat.reshape(blocks, block)
     width = _widths(grid)
-    # selector by first id: the one that takes most ids, found from widest runs down
+    # selector by first id: the one that takes most ids, found from short runs to long ones; a longer
+    # run has narrower ids, so a block in which no run of a length fits has none that are longer
     choice = np.zeros((blocks, block), np.uint8)
-    spans = {1: width}
-    for count in sorted({c for c, _ in SELECTORS} - {1}):
-        a = max(c for c in spans if c <= count)
-        b = max(c for c in spans if c <= count - a) if count > a else a
-        most = spans[a].copy()
-        while a < count:
-            step = max(c for c in spans if c <= count - a)
-            np.maximum(most[:, : -a], spans[step][:, a:], out=most[:, : -a])
-            a += step
-        spans[count] = most
-    free = np.ones((blocks, block), bool)
-    for s in range(1, len(SELECTORS)):
+    spans, left = {1: width}, np.arange(blocks)
+    for s in sorted(range(1, len(SELECTORS)), key=lambda s: SELECTORS[s][0]):
         count, bits = SELECTORS[s]
-        fits = free & (spans[count][:, :block] <= bits)
-        choice[fits] = s
-        free &= ~fits
+        if count not in spans:
+            a = max(spans)
+            most = spans[a].copy()
+            while a < count:
+                step = max(c for c in spans if c <= count - a)
+                np.maximum(most[:, :-a], spans[step][:, a:], out=most[:, :-a])
+                a += step
+            spans[count] = most
+        fits = spans[count][:, :block] <= bits
+        choice[left] = np.where(fits, np.uint8(s), choice[left])
+        some = fits.any(1)
+        if some.sum() < 0.7 * len(left):
+            left, spans = left[some], {c: v[some] for c, v in spans.items()}
+        if not len(left):
+            break
     counts = np.array([c for c, _ in SELECTORS], np.int64)
     # walk all blocks at once, a word a step
     at, rows, starts, picked = np.zeros(blocks, np.int64), [], [], []
