@@ -350,6 +350,34 @@ def test_attention_training_covers_the_corpus(spark, monkeypatch):
     assert all(np.isfinite(v).all() for v in w.values())
 
 
+def test_attention_learns_from_every_symbol(spark, monkeypatch):
+    """The rounds' strips are all symbols of the training documents, each once, also where the corpus is a large one."""
+    from strataq.llm import lm_scoring
+    from strataq.llm.attention_lm import Symbols, pair_logits
+
+    rows = [(i, lm_scoring._narrow(np.full(4000, 5 + i)), True, 2000, 4000) for i in range(40)]
+    train = spark.createDataFrame(rows, "row long, ids binary, last boolean, n long, m long")
+    counts = np.zeros(300)
+    counts[5:45] = 4000
+    symbols = Symbols(counts, np.arange(300) % 2 == 0, [bytes([i % 256, i // 256]) for i in range(300)], 299)
+    seen, whole = Counter(), lm_scoring._round
+
+    def round_(rows, *rest):
+        strips = [bytes(r.data) for r in rows.collect()]
+        seen.update(x for s in strips for x in s[1:])
+        return whole(rows, *rest)
+
+    monkeypatch.setattr(lm_scoring, "_round", round_)
+    monkeypatch.setattr(lm_scoring, "LEAST", 1)  # as for a corpus of any size
+    monkeypatch.setattr(lm_scoring, "PART", 20_000)
+    lm_scoring._fit(train, symbols, pair_logits(lm_scoring._pairs(train, symbols)), float(counts.sum()), 0)
+    want = Counter()
+    for i in range(5, 45):
+        want[int(symbols.of[i])] += 4000
+    want[attention_lm.END] += 40
+    assert seen == want
+
+
 def test_licenses(spark):
     docs = CASES + [(8, "some text\nReleased under the MIT License.\nmore"), (9, "Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (10, "a driver license is a general public matter")]
     got = {r.doc_id: r for r in scan(frame(spark, docs)).collect()}
