@@ -378,6 +378,30 @@ def test_attention_learns_from_every_symbol(spark, monkeypatch):
     assert seen == want
 
 
+def test_words_travel_by_chunks(spark, monkeypatch):
+    """A chunk's words come back in few rows, with ids, counts and positions as by brute force."""
+    from strataq.llm import lm_scoring
+
+    texts = [f"the cat{i % 7} sat on w{i} ü{i} {'x' * (i % 300)}" for i in range(400)]
+    docs = spark.createDataFrame([(i, i % 3 == 0, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").repartition(3)
+    chunks = lm_scoring._chunks(docs).localCheckpoint()
+    words = {(r.chunk, r.pos): bytes(r.data) for r in chunks.where(F.col("pos") < lm_scoring._DOCS).collect()}
+    total = Counter(w for i, t in enumerate(texts) if i % 3 for w in lm_scoring.words_of(t))
+    s = lm_scoring.subwords(lm_scoring.default_path())
+    for most in (500_000, 50):
+        monkeypatch.setattr(lm_scoring, "GATHER_WORDS", most)
+        rows, firsts = lm_scoring._counted(chunks, lm_scoring.default_path()).collect(), Counter()
+        assert len(rows) < len(words) / (10 if most > 50 else 2)
+        for chunk in {c for c, _ in words}:
+            n, sizes, at, flat = lm_scoring._scattered([(r.n, bytes(r.data)) for r in rows if r.chunk == chunk])
+            assert len(n) == sum(c == chunk for c, _ in words)
+            for pos, (c, k, a) in enumerate(zip(n.tolist(), sizes.tolist(), at.tolist())):
+                w = words[chunk, pos]
+                assert c >> 1 == total[w] and flat[a : a + k].tobytes() == s.ids(w)
+                firsts[w] += c & 1
+        assert set(firsts.values()) == {1} and set(firsts) == set(words.values())
+
+
 def test_licenses(spark):
     docs = CASES + [(8, "some text\nReleased under the MIT License.\nmore"), (9, "Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (10, "a driver license is a general public matter")]
     got = {r.doc_id: r for r in scan(frame(spark, docs)).collect()}
