@@ -16,7 +16,7 @@ from strataq.llm import attention_lm, simple8b  # noqa: E402
 from strataq.llm.bpe import default_path, encoder  # noqa: E402
 from strataq.llm.components import components  # noqa: E402
 from strataq.llm.decontamination import decontaminate  # noqa: E402
-from strataq.llm.jaccard_join import shingles, similar  # noqa: E402
+from strataq.llm.jaccard_join import _exact, shingles, similar  # noqa: E402
 from strataq.llm.licenses import scan  # noqa: E402
 from strataq.llm.lm_scoring import score as lm_score  # noqa: E402
 from strataq.llm.packing import difference, pack, windows  # noqa: E402
@@ -459,6 +459,26 @@ def test_similar(spark):
     assert similar(frame(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_verified_blocks_are_judged_in_little_memory(sides):
+    import tracemalloc
+
+    rng = np.random.default_rng(sides)
+    m = 1500
+    kinds = [rng.integers(0, 1 << 62, 12, dtype=np.uint64) for _ in range(60)]
+    sets = [np.unique(np.append(kinds[i % 60][: 12 - i % 3], rng.integers(0, 1 << 62, i % 2, dtype=np.uint64))) for i in range(m)]
+    side, copies = np.arange(m) % sides, np.arange(m) % 5 + 1
+    tracemalloc.start()
+    links, u, v = _exact(np.arange(m), copies, side, sets, 800, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * m * m  # pairs' counts as whole numbers of eight bytes took 37 a pair
+    alike = lambda i, j: (sides == 1 or side[i] != side[j]) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    near = {i: [j for j in range(i % 60, m, 60) if j != i and alike(i, j)] for i in range(0, m, 7)}
+    assert {i: sum(int(copies[j]) for j in near[i]) for i in near} == {i: int(links[i]) for i in near}
+    assert all(alike(int(i), int(j)) for i, j in zip(u, v))
+
+
 def test_pipeline_keeps_documents_with_one_short_item(spark, tmp_path):
     import corpus_pipeline
 
