@@ -149,14 +149,8 @@ def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str, gate: tuple[str, ...] | None) -> DataFrame:
-    """``row, doc_id, at, last, words``: lines, and windows of lines of a paragraph, that hold a word of the gate.
-
-    A window may be any run of lines whose inner lines have no more words than
-    the longest template; of its first and last line so many words count.  Lines
-    without a word end paragraphs.  Documents without units have one row of nulls.
-    """
-    longest = max(len(_WORD.findall(x.lower())) for t in TEMPLATES.values() for x in t)
+def _hits(docs: DataFrame, id_col: str, text_col: str, gate: tuple[str, ...] | None, longest: int) -> DataFrame:
+    """``row, doc_id, i, lo, by, words, here``: lines that hold a word of the gate, and ``by`` them those that a window of theirs can reach."""
     reach = longest + 1
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     passes = F.lit(True) if gate is None else low.rlike("(?<![a-z0-9])(?:" + "|".join(gate) + ")(?![a-z0-9])")
@@ -166,9 +160,25 @@ def _units(docs: DataFrame, id_col: str, text_col: str, gate: tuple[str, ...] |
     line = lambda ws: F.struct(F.size(ws).alias("n"), hit(ws).alias("hit"), F.slice(ws, 1, longest).alias("head"), F.slice(ws, F.greatest(F.size(ws) - longest + 1, F.lit(1)), longest).alias("tail"))
     base = _once(base, F.transform("lines", line), "all")
     places = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.element_at("all", i)["hit"])
+    # lines that a window can reach from one: those between have no more words than the longest template (a line without words: too many)
+    step = lambda acc, x: F.struct((acc["k"] + 1).alias("k"), (acc["s"] + F.when(x["n"] > 0, F.least(x["n"], F.lit(longest + 1))).otherwise(longest + 1)).alias("s"))
+    reached = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("k"), F.lit(0).alias("s")), lambda acc, x: F.when(acc["s"] <= longest, step(acc, x)).otherwise(acc))["k"]
     first = lambda i: F.greatest(i - reach, F.lit(1))
-    near = F.transform(places, lambda i: F.struct(i.alias("i"), first(i).alias("lo"), F.slice("all", first(i), i + reach + 1 - first(i)).alias("by"), F.element_at("lines", i).alias("words")))
-    hits = base.select("row", "doc_id", F.explode_outer(near).alias("h")).select("row", "doc_id", "h.*").withColumn("here", F.col("i") - F.col("lo") + 1)
+    back = lambda i: reached(F.reverse(F.slice("all", first(i), i - first(i))))
+    base = _once(base, F.transform(places, lambda i: F.struct(i.alias("i"), (i - back(i)).alias("lo"), (i + reached(F.slice("all", i + 1, F.lit(reach)))).alias("hi"))), "places")
+    near = F.transform("places", lambda x: F.struct(x["i"].alias("i"), x["lo"].alias("lo"), F.slice("all", x["lo"], x["hi"] - x["lo"] + 1).alias("by"), F.element_at("lines", x["i"]).alias("words")))
+    return base.select("row", "doc_id", F.explode_outer(near).alias("h")).select("row", "doc_id", "h.*").withColumn("here", F.col("i") - F.col("lo") + 1)
+
+
+def _units(docs: DataFrame, id_col: str, text_col: str, gate: tuple[str, ...] | None) -> DataFrame:
+    """``row, doc_id, at, last, words``: lines, and windows of lines of a paragraph, that hold a word of the gate.
+
+    A window may be any run of lines whose inner lines have no more words than
+    the longest template; of its first and last line so many words count.  Lines
+    without a word end paragraphs.  Documents without units have one row of nulls.
+    """
+    longest = max(len(_WORD.findall(x.lower())) for t in TEMPLATES.values() for x in t)
+    hits = _hits(docs, id_col, text_col, gate, longest)
     # words up to each line; a line without words counts as too many
     sizes = F.transform("by", lambda x: F.when(x["n"] > 0, x["n"]).otherwise(longest + 1).cast("long"))
     hits = _once(hits, F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), "upto")

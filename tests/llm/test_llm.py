@@ -17,7 +17,7 @@ from strataq.llm.bpe import default_path, encoder  # noqa: E402
 from strataq.llm.components import components  # noqa: E402
 from strataq.llm.decontamination import decontaminate  # noqa: E402
 from strataq.llm.jaccard_join import _exact, shingles, similar  # noqa: E402
-from strataq.llm.licenses import scan  # noqa: E402
+from strataq.llm.licenses import _hits, scan  # noqa: E402
 from strataq.llm.lm_scoring import score as lm_score  # noqa: E402
 from strataq.llm.packing import difference, pack, windows  # noqa: E402
 from strataq.llm.sharding import fisher_yates, shard  # noqa: E402
@@ -428,6 +428,16 @@ def test_licenses_gate(spark):
     assert [rows[True][i].license for i in (20, 21, 22, 23, 25)] == ["cc-by-sa", "cc-by-nc", "cc-by-sa", "cc-by-nd", "mit"]
 
 
+def test_licenses_carry_only_lines_in_reach(spark):
+    long, short = " ".join(["word"] * 30 + ["license"]), "free to use"
+    docs = [(1, "\n".join([long] * 40)), (2, "\n".join([short] * 40)), (3, f"{short}\n\n{short}\n{short}")]
+    rows = _hits(frame(spark, docs), "doc_id", "text", ("license", "use"), 25).collect()
+    assert all(len(r.by) <= 3 for r in rows if r.doc_id == 1) and len(rows) == 83
+    # eight lines of three words may lie between, so a window of line 21 begins at line 12 or ends at line 30
+    assert [(r.lo, len(r.by)) for r in rows if r.doc_id == 2 and r.i == 21] == [(12, 19)]
+    assert all(r.by[r.here - 1].n == 3 for r in rows if r.doc_id != 1)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(e).collect()}
