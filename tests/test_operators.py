@@ -229,3 +229,22 @@ def test_statements_beyond_the_basics(spark):
     for bad in ("SELECT id FROM r WHERE id IN ()", "SELECT id FROM r WHERE id BETWEEN 1", "SELECT id FROM r UNION", "SELECT AVG(DISTINCT n) AS a FROM r"):
         with pytest.raises(ValueError):
             e.sql(bad)
+
+
+def test_backup_less_one_row_moves_no_rows(spark, tmp_path, monkeypatch):
+    from strataq.queries import QUERIES
+    from strataq.sources import files
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(5).coalesce(1)
+    at = str(tmp_path / "orders.parquet")
+    rows.limit(0).write.parquet(at)
+    empty = QUERIES["sc15_backup_restore"](spark, str(tmp_path)).first()
+    assert (empty["n"], empty["total"], empty["same"], empty["same_without_one"]) == (0, None, True, False)
+    for _ in range(2):  # every row twice, in two files
+        rows.write.mode("append").parquet(at)
+    verify, seen = files.verify, []
+    monkeypatch.setattr(files, "verify", lambda a, b: seen.append(b) or verify(a, b))
+    got = QUERIES["sc15_backup_restore"](spark, str(tmp_path)).first()
+    assert (got["n"], got["same"], got["same_without_one"]) == (10, True, False)
+    assert [x.count() for x in seen] == [10, 9] and len(set(seen[1].collect())) == 5
+    assert not any("Exchange" in x._jdf.queryExecution().executedPlan().toString() for x in seen)
