@@ -198,6 +198,16 @@ def _units(docs: DataFrame, id_col: str, text_col: str, gate: tuple[str, ...] |
     return units.select("row", "doc_id", (a + F.col("lo") - 1).alias("at"), (b + F.col("lo") - 1).alias("last"), F.when(a.isNotNull(), words).alias("words"))
 
 
+def _weighted(words: str, grams: tuple[str, ...]) -> Column:
+    """The distinct words, and pairs of neighbours, of a column that are among the given ones; others have no weight."""
+    ones, pairs = sorted(g for g in grams if " " not in g), sorted(g for g in grams if " " in g)
+    firsts, seconds = ({p.split(" ")[k] for p in pairs} for k in (0, 1))
+    less = F.greatest(F.size(words) - 1, F.lit(0))
+    # only what both halves allow is put together
+    both = F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda a, b: F.when(a.isin(*sorted(firsts)) & b.isin(*sorted(seconds)), F.concat_ws(" ", a, b)))
+    return F.array_distinct(F.concat(F.filter(words, lambda w: w.isin(*ones)), F.filter(both, lambda g: g.isin(*pairs))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.6, gated: bool = True) -> DataFrame:
     """One row a document: ``doc_id, license, probability, coverage, confirmed, n_notices, families``.
 
@@ -215,24 +225,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", covera
     names, weights, bias, threshold = train()
     units = _units(docs, id_col, text_col, _anchors(coverage) if gated else None)
     vocabulary = sorted({w for t in TEMPLATES.values() for x in t for w in _WORD.findall(x.lower())})
-    units = _once(units, F.array_intersect("words", F.array(*map(F.lit, vocabulary))), "known")
+    among = lambda words: (lambda w: w.isin(*sorted(words)))  # a set that is made once, not once a unit
+    units = _once(units, F.array_distinct(F.filter("words", among(vocabulary))), "known")
     # coverage: the largest part of a template's words that the unit has, by family
     cover = F.array(*[
-        F.greatest(F.lit(0.0), F.lit(0.0), *[F.size(F.array_intersect("known", F.array(*[F.lit(w) for w in ws]))) / F.lit(len(ws)) for ws in (sorted(set(_WORD.findall(t.lower()))) for t in TEMPLATES.get(n, ()))])
+        F.greatest(F.lit(0.0), F.lit(0.0), *[F.size(F.filter("known", among(ws))) / F.lit(len(ws)) for ws in (set(_WORD.findall(t.lower())) for t in TEMPLATES.get(n, ()))])
         for n in names
     ])
     # a window that covers no template enough cannot count
     units = _once(units, F.when(F.col("at").isNotNull(), cover), "cover").where(F.col("at").isNull() | (F.col("at") == F.col("last")) | (F.array_max("cover") >= coverage))
     words = units.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.array_distinct(F.concat("words", pairs))
+    grams = _once(words, _weighted("words", tuple(weights)), "grams")
     table = spark.createDataFrame([(g, *w) for g, w in weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(len(names))))
-    exploded = words.select("row", "doc_id", "at", "last", "cover", F.explode_outer(grams).alias("gram"))
+    covers = [F.element_at("cover", i + 1).alias(f"c{i}") for i in range(len(names))]  # numbers, not an array: hashed without a sort
+    exploded = grams.select("row", "doc_id", "at", "last", *covers, F.explode_outer("grams").alias("gram"))
     met = exploded.join(F.broadcast(table), "gram", "left")
-    logits = met.groupBy("row", "at", "last").agg(F.max("doc_id").alias("doc_id"), F.max("cover").alias("cover"), *[(F.round(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)), 9) + F.lit(bias[i])).alias(f"z{i}") for i in range(len(names))])
+    logits = met.groupBy("row", "doc_id", "at", "last").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(names))], *[(F.round(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)), 9) + F.lit(bias[i])).alias(f"z{i}") for i in range(len(names))])
     top = F.greatest(*[F.col(f"z{i}") for i in range(len(names))])
     total = sum((F.exp(F.col(f"z{i}") - F.col("top")) for i in range(1, len(names))), F.exp(F.col("z0") - F.col("top")))
-    classes = [F.struct((F.exp(F.col(f"z{i}") - F.col("top")) / F.col("total")).alias("p"), F.lit(-i).alias("order"), F.lit(names[i]).alias("name"), F.element_at("cover", i + 1).alias("cover")) for i in range(1, len(names))]
+    classes = [F.struct((F.exp(F.col(f"z{i}") - F.col("top")) / F.col("total")).alias("p"), F.lit(-i).alias("order"), F.lit(names[i]).alias("name"), F.col(f"c{i}").alias("cover")) for i in range(1, len(names))]
     best = logits.withColumn("top", top).withColumn("total", total).withColumn("best", F.array_max(F.array(*classes)))
     stands = F.col("best.cover") >= coverage
     sure = F.col("at").isNotNull() & (F.col("best.p") >= threshold) & (stands | (F.col("at") == F.col("last")))

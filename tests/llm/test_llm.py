@@ -438,6 +438,19 @@ def test_licenses_carry_only_lines_in_reach(spark):
     assert all(r.by[r.here - 1].n == 3 for r in rows if r.doc_id != 1)
 
 
+def test_licenses_weigh_only_grams_with_a_weight(spark):
+    """Grams are chosen before they are exploded, and their sums are hashed without a sort."""
+    from strataq.llm.licenses import TEMPLATES, _grams, _weighted, train
+
+    weights, r = train()[1], random.Random(3)
+    pool = [*{w for t in TEMPLATES.values() for x in t for w in re.findall("[a-z0-9]+", x.lower())}, "other", "words"]
+    texts = [" ".join(r.choice(pool) for _ in range(n)) for n in (0, 1, 2, 3, 40, 200)] + [x for t in TEMPLATES.values() for x in t]
+    words = [(i, re.findall("[a-z0-9]+", x.lower())) for i, x in enumerate(texts)] + [(len(texts), None)]
+    got = dict(spark.createDataFrame(words, "i long, words array<string>").select("i", _weighted("words", tuple(weights))).collect())
+    assert all(len(set(got[i])) == len(got[i]) and set(got[i]) == _grams(x) & set(weights) for i, x in enumerate(texts)) and not got[len(texts)]
+    assert "SortAggregate" not in scan(frame(spark, CASES))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(e).collect()}
