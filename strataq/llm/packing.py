@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,7 +45,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         over = max(0, len(a) + len(b) - k)
         lone, tail, turn = len(b) - over, a[len(a) - over :], b[len(b) - over :][::-1]
         merged = a[: len(a) - over] + b[:lone] + [(x + y, (m, n)) for (x, m), (y, n) in zip(tail, turn)]
-        merged.sort(key=_load, reverse=True)
+        merged.sort(key=itemgetter(0), reverse=True)
         spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
         heapq.heappush(heap, (-spread, made, merged))
         made += 1
@@ -58,10 +59,6 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return out + [[] for _ in range(k - len(out))]
 
 
-def _load(window: tuple) -> int:
-    return window[0]
-
-
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     """Near-equal windows none of which exceeds ``capacity``.
 

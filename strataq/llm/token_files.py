@@ -23,8 +23,8 @@ from strataq.llm.common import scratch_dir
 
 #: ids after which a segment ends (a longer document has a segment of its own)
 SEGMENT_IDS = 1 << 20
-#: chunks that a worker's encoder keeps in each generation
-CACHE_ENTRIES = 300_000
+#: chunks that a worker's encoder keeps when it has twice as many
+CACHE_ENTRIES = 200_000
 
 
 def write_tokens(

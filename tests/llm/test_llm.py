@@ -47,6 +47,22 @@ def test_encoder_is_the_librarys():
         assert np.frombuffer(encoder(default_path()).encode(text or ""), "<u4").tolist() == bare(text)
 
 
+def test_encoder_keeps_letters_once():
+    """Letters with marks behind them take no entry of their own; what is forgotten is learnt again."""
+    from strataq.llm.bpe import _MARKS, BpeEncoder
+
+    enc, r = BpeEncoder(default_path(), entries=60), random.Random(2)
+    common = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9))) for _ in range(20)]
+    for turn in range(12):
+        words = common + ["".join(r.choice("mnopq") for _ in range(7)) for _ in range(15)] + ["don't", "3-x", "-", "..."]
+        texts = [" ".join(r.choice(words) + r.choice(["", ",", ".", "?!", ";"]) for _ in range(40)) + r.choice(["", " ", "  \n", "a\n, b"]) for _ in range(5)]
+        for text, ids in zip(texts, enc.encode_many(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == bare(text)
+        assert not any(c.rstrip(_MARKS).isalpha() and c[-1] in _MARKS for c in enc._chunks)
+        assert len(enc._chunks) + len(enc._tails) <= 120
+        assert turn < 2 or len(set(common) & set(enc._chunks)) > 15
+
+
 def test_encoder_on_odd_strings():
     """White space of every kind, marks, special tokens: in batches, as the library has them one by one."""
     from tokenizers import Tokenizer
