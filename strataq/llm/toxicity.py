@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import worker_cache, written
+from strataq.llm.common import forget, worker_cache, written
 
 # Words that report speech, and quotation marks.
 REPORTS = frozenset("called calls cited quote quoted quotes quoting said says saying term word words wrote".split())
@@ -32,6 +31,8 @@ QUOTES_OPEN, QUOTES_CLOSE = "\"“«„'‘", "\"”»“'’"
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 6000
 #: words whose match a worker keeps before it starts anew
 CACHE_ENTRIES = 150_000
+#: terms of the sample that a task counts before it returns them
+TERMS = 50_000
 #: states of the automaton that a worker keeps before it starts anew
 STATES = 50_000
 #: words on either side that a hit is read with; words of the longest quotation
@@ -207,6 +208,27 @@ def _terms_of(text: str) -> set[tuple[str, int]]:
     return {(w, WORD) for w in words} | {(w[:n], STEM) for w in words for n in range(4, 9) if len(w) >= n}
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of texts and 0 or 1: how many clean and toxic documents have a term, in parts to be summed."""
+    forget()
+    found: dict[tuple[str, int], list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        terms, kinds = zip(*found)
+        clean, toxic = zip(*found.values())
+        found.clear()
+        return pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "kind": pa.array(kinds, pa.int32()), "toxic": pa.array(toxic, pa.int64()), "clean": pa.array(clean, pa.int64())})
+
+    for b in batches:
+        for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
+            for term in _terms_of(text.as_py() or ""):
+                found.setdefault(term, [0, 0])[toxic] += 1
+            if len(found) > TERMS:
+                yield flush()
+    if found:
+        yield flush()
+
+
 def _sample(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """``doc_id, text, toxic`` of the labelled documents to learn from, a bounded number by hash order."""
     known = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(F.col("toxic").isNotNull() & train)
@@ -230,17 +252,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[list[tuple
     if not n.get(0) or not n.get(1):
         return [], nothing
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[toxic].update(_terms_of(text or ""))
-        keys = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_pydict({"term": pa.array([k[0] for k in keys], pa.string()), "kind": pa.array([k[1] for k in keys], pa.int32()), "toxic": pa.array([seen[1][k] for k in keys], pa.int64()), "clean": pa.array([seen[0][k] for k in keys], pa.int64())})
-
     least = 4
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
-    table = sample.select("text", "toxic").mapInArrow(counts, "term string, kind int, toxic long, clean long")
+    table = sample.select("text", "toxic").mapInArrow(_counts, "term string, kind int, toxic long, clean long")
     table = table.groupBy("term", "kind").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).withColumn("odds", odds)
     table = table.where((F.col("t") >= least) & (F.col("odds") >= 3.2) & (F.col("c") <= 0.1 * F.col("t")))
     rows = [(r.term, r.kind, round(r.odds, 4), r.t) for r in table.collect()]

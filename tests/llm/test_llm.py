@@ -12,7 +12,7 @@ pytest.importorskip("strataq.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from strataq.llm import attention_lm, simple8b  # noqa: E402
+from strataq.llm import attention_lm, common, simple8b, toxicity  # noqa: E402
 from strataq.llm.bpe import default_path, encoder  # noqa: E402
 from strataq.llm.components import components  # noqa: E402
 from strataq.llm.decontamination import decontaminate  # noqa: E402
@@ -242,6 +242,29 @@ def test_toxicity(spark):
     assert kept.columns == clashing.columns and kept.count() == sum(x.predicted == 0 for x in got)
 
 
+def test_toxicity_counts_terms_in_little_memory(monkeypatch):
+    """A task gives back what its worker kept for another operator, and holds a bounded number of terms."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "TERMS", 300)
+    monkeypatch.setattr(common, "_HELD", {("bpe",): object()})
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices("abcdefg", k=7)) for _ in range(20)) for _ in range(200)] + [None, "", "abc abc"] * 2
+    marks = [i % 3 == 0 for i in range(len(texts))]
+    want = {False: Counter(), True: Counter()}
+    for text, mark in zip(texts, marks):
+        want[mark].update(toxicity._terms_of(text or ""))
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[s : s + 50], pa.string()), pa.array(list(map(int, marks[s : s + 50])))], names=["text", "toxic"]) for s in range(0, len(texts), 50)]
+    got = list(toxicity._counts(iter(batches)))
+    assert not common._HELD
+    assert len(got) > 1 and max(b.num_rows for b in got) <= 300 + 20 * 6
+    found = {False: Counter(), True: Counter()}
+    for x in (x for b in got for x in b.to_pylist()):
+        found[False][x["term"], x["kind"]] += x["clean"]
+        found[True][x["term"], x["kind"]] += x["toxic"]
+    assert {k: +c for k, c in found.items()} == want
+
+
 def test_shards(spark):
     assert sorted(fisher_yates(100, np.random.default_rng(1)).tolist()) == list(range(100))
     rows = CASES + [(7, "same")] * 50
