@@ -310,6 +310,36 @@ def test_attention_gradients_and_windows():
     assert np.allclose(opens, z[:24], atol=1e-4)
 
 
+def test_attention_works_on_few_logits_at_once():
+    """The softmax of a step and of scoring goes by blocks: gradients as in one piece, and no array of all logits."""
+    import tracemalloc
+
+    r, n = np.random.default_rng(3), attention_lm.SYMBOLS
+    pairs = r.standard_normal((n, n)).astype(np.float32)
+    for scale in (1, 40):  # the second is beyond the exponents of float32
+        w = {k: v * np.float32(scale if k == "u" else 1) for k, v in attention_lm.start(1).items()}
+        x = r.integers(0, n, (2 * attention_lm.PLACES // attention_lm.WINDOW + 1, attention_lm.WINDOW))
+        y, kept = r.integers(0, n, x.size), []
+        p = attention_lm.forward(w, x, pairs, 0, kept).reshape(-1, n).astype(np.float64)
+        p = np.exp(p - p.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(x.size), y] -= 1
+        want = attention_lm.backward(w, x, (p / x.size).astype(np.float32), kept)
+        z = kept[-1].reshape(-1, attention_lm.WIDTH)
+        got, dz = attention_lm.softmax_gradients(w, z, x.ravel(), y, pairs, np.empty((2, attention_lm.PLACES, n), np.float32))
+        got |= attention_lm.behind(w, x, dz, kept)
+        for k in w:
+            assert np.allclose(got[k], want[k], atol=1e-5 * max(1, np.abs(want[k]).max())), k
+    stream = r.integers(0, n, 20_000).astype(np.uint8)
+    model = attention_lm.prepared(attention_lm.start(1), pairs, 100)
+    for work, most in ((lambda: attention_lm.train(attention_lm.fresh(0), stream, pairs), 4_500_000), (lambda: attention_lm.log10_probabilities(model, [stream]), 2_200_000)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
 def test_lm_scoring(spark):
     """Counts and base by brute force, over nulls, empties, repeats, a null id and a long text in pieces."""
     docs = [(i, f"the cat sat on the mat {'and the dog ran' if i % 2 else 'the END'} w{i}") for i in range(40)] + [(50, None), (51, ""), (52, LONG), (53, "x" * 3000), (7, "again"), (7, "again")]
