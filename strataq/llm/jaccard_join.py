@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import forget, written
+from strataq.llm.common import tidy, written
 from strataq.llm.components import components
 
 PLACES = 64
@@ -144,7 +144,6 @@ def _compare(buckets: DataFrame, least: int) -> DataFrame:
     """Edges (a forest of each part) of buckets ``path, part, row, sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         out, n = ([], []), 0
         for t in _groups(batches, 2):
             if t.num_rows < 2:
@@ -161,7 +160,7 @@ def _compare(buckets: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"u": np.concatenate(out[0]), "v": np.concatenate(out[1])})
 
     dealt = buckets.repartition("path", "part").sortWithinPartitions("path", "part")
-    return dealt.select("path", "part", "row", "sig").mapInArrow(run, "u long, v long")
+    return dealt.select("path", "part", "row", "sig").mapInArrow(tidy(run), "u long, v long")
 
 
 def _in_blocks(members: DataFrame, group: str, count: str, block: int) -> DataFrame:
@@ -213,7 +212,6 @@ def _verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
     top, bottom = 1000, round(1000 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for t in _groups(batches, 2):
             if t.num_rows < 2:
                 continue
@@ -227,7 +225,7 @@ def _verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["row", "links", "v"])
 
     dealt = members.repartition("root", "part").sortWithinPartitions("root", "part")
-    return dealt.select("root", "part", "side", "row", "copies", "text").mapInArrow(run, "row long, links long, v long")
+    return dealt.select("root", "part", "side", "row", "copies", "text").mapInArrow(tidy(run), "row long, links long, v long")
 
 
 def _exact(rows: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], bottom: int, top: int):
@@ -287,7 +285,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     schema = pa.schema([("row", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), []
@@ -298,7 +295,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                     out.append((row, hashlib.blake2b(body, digest_size=16, person=b"set" if len(s) else b"text").digest(), len(s), signature(s, a, b).tobytes() if len(s) else b""))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    signed = base.select("row", "text").mapInArrow(sign, "row long, key binary, n long, sig binary")
+    signed = base.select("row", "text").mapInArrow(tidy(sign), "row long, key binary, n long, sig binary")
     signed = written(signed, "sets")
     classes = written(signed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     sets = classes.where("n > 0").select(F.col("first").alias("row"), "n", "sig")

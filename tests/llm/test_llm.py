@@ -12,7 +12,7 @@ pytest.importorskip("strataq.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from strataq.llm import attention_lm, common, simple8b, toxicity  # noqa: E402
+from strataq.llm import attention_lm, common, jaccard_join, simple8b, toxicity  # noqa: E402
 from strataq.llm.bpe import default_path, encoder  # noqa: E402
 from strataq.llm.components import components  # noqa: E402
 from strataq.llm.decontamination import decontaminate  # noqa: E402
@@ -551,6 +551,24 @@ def test_similar(spark):
     assert similar(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_near_duplicates_give_memory_back_behind_each_task(spark, monkeypatch):
+    """Each Python step of the join drops what other operators keep, and returns its memory at its end."""
+    done = []
+    monkeypatch.setattr(common, "_HELD", {("bpe",): object()})
+    monkeypatch.setattr(common, "_release", lambda: done.append(len(common._HELD)))
+
+    def work(batches):
+        assert not common._HELD
+        done.append("work")
+        yield from batches
+
+    assert list(common.tidy(work)(iter([1, 2]))) == [1, 2] and done == [0, "work", 0]
+    wrapped = []
+    monkeypatch.setattr(jaccard_join, "tidy", lambda f: wrapped.append(f.__qualname__.split(".")[0]) or f)
+    similar(frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f g h")]), n=2, threshold=0.5).collect()
+    assert set(wrapped) == {"similar", "_compare", "_verified"}
+
+
 @pytest.mark.parametrize("sides", [1, 2])
 def test_verified_blocks_are_judged_in_little_memory(sides):
     import tracemalloc
