@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.bpe import default_path, encoded
-from strataq.llm.common import give_back
+from strataq.llm.common import release
 
 #: sequence ids: the task's number times this, plus a count from 0
 SEQUENCES_A_TASK = 1 << 40
@@ -157,7 +157,7 @@ def pack(
                 if size >= 1 << 19:
                     yield batch(rows)
                     rows, size = [], 0
-                    give_back()  # what the encoder has used meanwhile is twice what it keeps
+                    release()  # what the encoder has used meanwhile is twice what it keeps
         rows += packer.flush()
         if rows:
             yield batch(rows)

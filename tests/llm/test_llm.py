@@ -555,7 +555,7 @@ def test_near_duplicates_give_memory_back_behind_each_task(spark, monkeypatch):
     """Each Python step of the join drops what other operators keep, and returns its memory at its end."""
     done = []
     monkeypatch.setattr(common, "_HELD", {("bpe",): object()})
-    monkeypatch.setattr(common, "_release", lambda: done.append(len(common._HELD)))
+    monkeypatch.setattr(common, "release", lambda: done.append(len(common._HELD)))
 
     def work(batches):
         assert not common._HELD
