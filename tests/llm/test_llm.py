@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -471,6 +472,65 @@ def test_words_travel_by_chunks(spark, monkeypatch):
         assert set(firsts.values()) == {1} and set(firsts) == set(words.values())
 
 
+def test_attention_goes_by_words(spark, monkeypatch):
+    """Attention learns from one place a word and one a text, however many ids the words take; documents are put together again over chunks."""
+    from strataq.llm import lm_scoring
+
+    texts = [f" The cat{i % 7} saton\tw{i} ü{i}\n{'xq' * (i % 30)} " * (i % 5) for i in range(60)] + [None, "", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 12)
+    monkeypatch.setattr(lm_scoring, "PIECE_WORDS", 5)
+    seen, whole = [], lm_scoring._fit
+
+    def fit(train, symbols, pairs, size, seed):
+        seen.append((size, pairs.shape, sum(len(r.data) - 1 for r in lm_scoring._strips(train, symbols, 1.0, seed).collect()), train.where("last").count()))
+        return whole(train, symbols, pairs, size, seed)
+
+    monkeypatch.setattr(lm_scoring, "_fit", fit)
+    monkeypatch.setattr(lm_scoring, "LEAST", 1)
+    got = {r.doc_id: r for r in lm_score(docs).collect()}
+    assert len(got) == len(texts) and all(r.n_tokens == len(lm_scoring.words_of(texts[i] or "")) + 1 for i, r in got.items())
+    places = sum(r.n_tokens for r in got.values() if not r.held_out)
+    ((size, _, strips, ends),) = seen
+    assert size == strips == places == got[0].train_tokens and ends == sum(not r.held_out for r in got.values())
+
+    chunks = lm_scoring._chunks(docs.selectExpr("doc_id", "doc_id % 3 = 0 AS held_out", "text")).collect()
+    words, pieces = {(r.chunk, r.pos): r for r in chunks if r.pos < lm_scoring._DOCS}, {}
+    for r in sorted((r for r in chunks if r.pos >= lm_scoring._DOCS), key=lambda r: (r.chunk, r.pos)):
+        _, doc, null, held, last = struct.unpack_from(lm_scoring._HEAD, r.data)
+        assert not null and held == (doc % 3 == 0) and r.n <= 5
+        numbers = lm_scoring._wide(bytes(r.data[lm_scoring._HEAD_SIZE :]), r.n).tolist()
+        pieces.setdefault(doc, []).append((last, [bytes(words[r.chunk, i].data) for i in numbers]))
+    assert len({r.chunk for r in chunks}) > 4
+    for i, text in enumerate(texts):
+        assert [w for _, some in pieces[i] for w in some] == lm_scoring.words_of(text or "") and [x for x, _ in pieces[i]] == [False] * (len(pieces[i]) - 1) + [True]
+    learnt = Counter()
+    for r in words.values():
+        learnt[bytes(r.data)] += r.n
+    assert +learnt == Counter(w for i, t in enumerate(texts) if i % 3 for w in lm_scoring.words_of(t or ""))
+
+
+def test_spellings_by_brute_force():
+    """Every id behind a word's first, and its end, has the row of the two symbols before; rows are probabilities."""
+    from strataq.llm.lm_scoring import _spelt
+
+    r, n, end = np.random.default_rng(5), attention_lm.SYMBOLS, attention_lm.END
+    lens = r.integers(1, 5, 200)
+    opener, tails = r.integers(0, n, 200).astype(np.uint8), r.integers(0, n - 1, int(lens.sum()) - 200).astype(np.uint8)
+    at, place = _spelt(opener, tails, lens)
+    want, left = [], tails.tolist()
+    for o, k in zip(opener.tolist(), lens.tolist()):
+        some, left = left[: k - 1], left[k - 1 :]
+        for j, y in enumerate([*some, end]):
+            row = o if j == 0 else n + o * n + some[0] if j == 1 else n + n * n + some[j - 2] * n + some[j - 1]
+            want.append(row * n + y)
+    assert place.tolist() == want and at.tolist() == (np.cumsum(lens) - lens).tolist()
+    assert [len(x) for x in _spelt(opener[:0], tails[:0], lens[:0])] == [0, 0]
+    table = attention_lm.spelling_logits(np.bincount(place, minlength=(n + 2 * n * n) * n).reshape(-1, n))
+    rows = np.unique(place // n)
+    assert np.allclose((10.0 ** table[rows]).sum(1), 1, atol=1e-4) and table.take(place).mean() > table[rows].mean()
+
+
 def test_licenses(spark):
     docs = CASES + [(8, "some text\nReleased under the MIT License.\nmore"), (9, "Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (10, "a driver license is a general public matter")]
     got = {r.doc_id: r for r in scan(frame(spark, docs)).collect()}
